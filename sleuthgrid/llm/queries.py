@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
 from .ngram_join import jaccard_components
+from .quality import judge_quality
 from .shared import table
 from .substring_dedup import dedup_substrings
 
@@ -13,12 +16,21 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, per_cent=85, lower=True)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"), window=13, keep_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op8_substring_dedup": op8_substring_dedup}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge_quality(table(spark, sf_dir, "documents"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept")
+
+
+QUERIES = {"op4_benchmark_decontamination": op4_benchmark_decontamination, "op10_quality_rules": op10_quality_rules, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op8_substring_dedup": op8_substring_dedup}
 
 _OP8 = r"""
 WITH w AS (
@@ -57,4 +69,39 @@ SELECT w.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(reach.
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
 """
 
-ORACLE_SQL = {"op1_ngram_jaccard_join": _OP1, "op8_substring_dedup": _OP8}
+_OP10 = r"""
+WITH w AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), lines AS (
+  SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), nl AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+), rep AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY doc_id
+), f AS (
+  SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN nl ON nl.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id
+), m AS (
+  SELECT doc_id, lang, source, 'symbols' AS metric, 35 AS spread, n_symbols * 1000 // greatest(n_words, 1) AS x FROM f
+  UNION ALL SELECT doc_id, lang, source, 'word_length', 1000, word_chars * 1000 // greatest(n_words, 1) FROM f
+  UNION ALL SELECT doc_id, lang, source, 'dup_lines', 170, n_dup_lines * 1000 // greatest(n_lines, 1) FROM f
+), b AS (
+  SELECT *, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS bucket FROM m
+), o AS (SELECT lang, source, metric, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL
+), l AS (SELECT lang, metric, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL
+), e AS (SELECT metric, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL
+), q AS (
+  SELECT b.doc_id, b.x, b.spread, CASE WHEN o.n >= 100 THEN o.q1 WHEN l.n >= 100 THEN l.q1 ELSE e.q1 END AS q1, CASE WHEN o.n >= 100 THEN o.q3 WHEN l.n >= 100 THEN l.q3 ELSE e.q3 END AS q3
+  FROM b JOIN o ON o.lang IS NOT DISTINCT FROM b.lang AND o.source IS NOT DISTINCT FROM b.source AND o.metric = b.metric
+  JOIN l ON l.lang IS NOT DISTINCT FROM b.lang AND l.metric = b.metric JOIN e ON e.metric = b.metric
+), within AS (SELECT doc_id, bool_and(x <= q3 + 3 * greatest(q3 - q1, spread)) AS ok FROM q GROUP BY doc_id)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND ok AS kept
+FROM f JOIN within ON within.doc_id = f.doc_id
+"""
+
+ORACLE_SQL = {"op10_quality_rules": _OP10, "op1_ngram_jaccard_join": _OP1, "op8_substring_dedup": _OP8}
