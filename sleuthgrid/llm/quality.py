@@ -21,7 +21,7 @@ FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 #: Metrics (each in thousandths) and the least spread that counts.
 METRICS = {
     "symbols": ("n_symbols * 1000 div greatest(n_words, 1)", 35),
-    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", 1000),
+    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", 1500),
     "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 170),
 }
 MIN_GROUP, REACH = 100, 3
@@ -113,21 +113,20 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     """
     own = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
     features = docs.select(*own, _features(F.col("text").cast("string")).alias("f")).select("lang", "source", "f.*")
-    limits = thresholds(features).groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source"))
-    limits = limits.agg(F.map_from_entries(F.collect_list(F.struct("metric", "threshold"))).alias("_limits"))  # three entries
-    rows = docs.withColumn("quality", _features(F.col("text").cast("string")))
-    keys = [c.eqNullSafe(limits[f"_{k}"]) for k, c in zip(("lang", "source"), (docs[c].cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")), strict=True)]
+    limits = thresholds(features).groupBy("lang", "source")
+    limits = limits.agg(F.map_from_entries(F.collect_list(F.struct("metric", "threshold"))).alias("limits"))  # three entries
+    rows = docs.select(F.struct("*").alias("row"), *own, _features(F.col("text").cast("string")).alias("quality"))
+    judged = rows.join(limits, rows["lang"].eqNullSafe(limits["lang"]) & rows["source"].eqNullSafe(limits["source"]), "left")
     failed = F.expr("quality.n_words < 10 or 100 * quality.n_repeat_words > 20 * quality.n_words")
     within = F.lit(True)
-    for m, (e, _) in METRICS.items():
-        value = e
+    for metric, (value, _) in METRICS.items():
         for c in FEATURES:
             value = value.replace(c, f"quality.{c}")
-        within &= F.expr(value).cast("long") <= F.coalesce(F.element_at("_limits", F.lit(m)), F.lit(2**62))
-    judged = rows.join(limits, keys, "left").withColumn("quality", F.struct("quality.*", failed.alias("base_failed"), (~failed & within).alias("kept")))
-    return judged.drop("_lang", "_source", "_limits")
+        within &= F.expr(value).cast("long") <= F.element_at("limits", F.lit(metric))
+    verdict = F.struct("quality.*", failed.alias("base_failed"), (~failed & within).alias("kept"))
+    return judged.select(*(F.col(f"row.`{c}`") for c in docs.columns if c != "quality"), verdict.alias("quality"))
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, that the rules keep."""
-    return judge_quality(docs).where("quality.kept").drop("quality")
+    return judge_quality(docs.withColumnRenamed("quality", "_quality")).where("quality.kept").drop("quality").withColumnRenamed("_quality", "quality")

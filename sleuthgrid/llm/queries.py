@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_leaks
+from .line_dedup import dedup_lines
 from .ngram_join import jaccard_components
+from .packing import pack
 from .quality import judge_quality
-from .shared import table
+from .shared import table, tokenizer_path
 from .substring_dedup import dedup_substrings
 
 
@@ -20,17 +22,25 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), min_words=5).select("doc_id", "n_removed", "text")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"), window=13, keep_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), size=1024)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_quality(table(spark, sf_dir, "documents"))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept")
 
 
-QUERIES = {"op4_benchmark_decontamination": op4_benchmark_decontamination, "op10_quality_rules": op10_quality_rules, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op8_substring_dedup": op8_substring_dedup}
+QUERIES = {"op5_line_dedup": op5_line_dedup, "op9_packing": op9_packing, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op10_quality_rules": op10_quality_rules, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op8_substring_dedup": op8_substring_dedup}
 
 _OP8 = r"""
 WITH w AS (
@@ -87,7 +97,7 @@ WITH w AS (
   FROM w LEFT JOIN nl ON nl.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id
 ), m AS (
   SELECT doc_id, lang, source, 'symbols' AS metric, 35 AS spread, n_symbols * 1000 // greatest(n_words, 1) AS x FROM f
-  UNION ALL SELECT doc_id, lang, source, 'word_length', 1000, word_chars * 1000 // greatest(n_words, 1) FROM f
+  UNION ALL SELECT doc_id, lang, source, 'word_length', 1500, word_chars * 1000 // greatest(n_words, 1) FROM f
   UNION ALL SELECT doc_id, lang, source, 'dup_lines', 170, n_dup_lines * 1000 // greatest(n_lines, 1) FROM f
 ), b AS (
   SELECT *, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS bucket FROM m

@@ -42,3 +42,10 @@ def partitions(spark: SparkSession) -> int:
 def spread(key: Column, n: int) -> Column:
     """0..n-1, even over the values of key."""
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def tokenizer_path(name: str) -> str:
+    """The file of a public tokenizer, at the same place on the driver and all executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
