@@ -11,7 +11,9 @@ from .ngram_join import jaccard_components
 from .packing import pack
 from .quality import judge_quality
 from .shared import table, tokenizer_path
+from .sharding import assign_shards
 from .substring_dedup import dedup_substrings
+from .url_filter import judge_urls
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), min_words=5).select("doc_id", "n_removed", "text")
 
 
+#: The rules of op3, fixed values.
+URL_RULES = {"allow": ["com/", "www.example.com/en/"], "block": ["example.com/en/", "net/es/", "net/fr/"]}
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"), limit=16 << 20)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"), window=13, keep_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -40,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept")
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup, "op9_packing": op9_packing, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op10_quality_rules": op10_quality_rules, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op8_substring_dedup": op8_substring_dedup}
+QUERIES = {"op3_url_filters": op3_url_filters, "op7_sharding": op7_sharding, "op5_line_dedup": op5_line_dedup, "op9_packing": op9_packing, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op10_quality_rules": op10_quality_rules, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op8_substring_dedup": op8_substring_dedup}
 
 _OP8 = r"""
 WITH w AS (
@@ -114,4 +128,16 @@ SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f JOIN within ON within.doc_id = f.doc_id
 """
 
-ORACLE_SQL = {"op10_quality_rules": _OP10, "op1_ngram_jaccard_join": _OP1, "op8_substring_dedup": _OP8}
+_OP3 = r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), r(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), best AS (
+  SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
+  FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+)
+SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best ON best.page_id = u.page_id
+"""
+
+ORACLE_SQL = {"op3_url_filters": _OP3, "op10_quality_rules": _OP10, "op1_ngram_jaccard_join": _OP1, "op8_substring_dedup": _OP8}
