@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The element names of HTML that matter to the cutting into blocks.
-BLOCK = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
+BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe svg math".split())
 HIDDEN = RAW - {"title"}
@@ -73,7 +73,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             flush()
-            if name != "br" and stack:
+            if stack:
                 shut = CLOSES.get(name, set())
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p" or stack[i][0] in shut:
@@ -82,6 +82,8 @@ def blocks_of(page: str) -> list[Block]:
                     if stack[i][0] in BLOCK:
                         break
                 links = sum(s[0] == "a" for s in stack)
+        if name == "br":
+            parts.append((" ", links > 0))
         if name in VOID or m[3].endswith("/>") and name in HIDDEN:
             continue
         if name in RAW:

@@ -289,3 +289,13 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             held = t.slice(end).to_batches()
     if held and (t := pa.Table.from_batches(held)).num_rows:
         yield t.combine_chunks()
+
+
+def one_of_each(docs: DataFrame, *, k: int = 5, per_cent: int = 80) -> DataFrame:
+    """The rows of docs, all columns as they are, whose document is the least of its component; as jaccard_components.
+
+    A null doc_id links with nothing, so its rows stay; rows that repeat a doc_id stay or go together.
+    """
+    found = jaccard_components(docs, k=k, per_cent=per_cent)
+    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(copies, docs["doc_id"].cast("long") == copies["doc_id"], "left_anti")

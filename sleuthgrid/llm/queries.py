@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import parse_transcripts
 from .decontaminate import find_leaks
+from .html_extract import extract_main_text
 from .line_dedup import dedup_lines
 from .ngram_join import jaccard_components
 from .packing import pack
@@ -16,10 +18,22 @@ from .substring_dedup import dedup_substrings
 from .url_filter import judge_urls
 
 
+#: The rules of op3, fixed values.
+URL_RULES = {"allow": ["com/", "www.example.com/en/"], "block": ["example.com/en/", "net/es/", "net/fr/"]}
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, per_cent=85, lower=True)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
 
@@ -28,12 +42,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), min_words=5).select("doc_id", "n_removed", "text")
 
 
-#: The rules of op3, fixed values.
-URL_RULES = {"allow": ["com/", "www.example.com/en/"], "block": ["example.com/en/", "net/es/", "net/fr/"]}
-
-
-def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_transcripts(table(spark, sf_dir, "conversations"), speaker="role")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +64,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept")
 
 
-QUERIES = {"op3_url_filters": op3_url_filters, "op7_sharding": op7_sharding, "op5_line_dedup": op5_line_dedup, "op9_packing": op9_packing, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op10_quality_rules": op10_quality_rules, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op8_substring_dedup": op8_substring_dedup}
+QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_url_filters": op3_url_filters,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_sharding": op7_sharding,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_packing": op9_packing,
+    "op10_quality_rules": op10_quality_rules,
+}
 
 _OP8 = r"""
 WITH w AS (
