@@ -105,6 +105,11 @@ class _Block:
         self.path, self.group = path[new], group[new]
         self.first = self.ids[self.doc[self.order[new]]]
 
+    def runs(self) -> list[tuple[int, int, int]]:
+        """Of each group its number and where its nodes begin and end; none for texts without a window."""
+        groups, starts = np.unique(self.group, return_index=True)
+        return list(zip(groups.tolist(), starts.tolist(), np.append(starts, len(self.group))[1:].tolist(), strict=True))
+
     def spans(self, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document and word of each window that starts in a smaller doc_id too. earlier: by node, that an earlier block has it."""
         at = self.order[earlier[self.node] | (self.ids[self.doc[self.order]] > self.first[self.node])]
@@ -180,11 +185,10 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, block_bytes: int = 6
 
     def send(table: pa.Table) -> pa.Table:
         b = _Block(table, heavy, window, n_groups)
-        groups, starts = np.unique(b.group, return_index=True)
-        ends = [*starts[1:].tolist(), len(b.group)]
-        packed = [_pack(b.path[s:e]) for s, e in zip(starts.tolist(), ends, strict=True)]
-        block = pa.array(np.full(len(groups), table.column("block")[0].as_py(), np.int32))
-        return pa.table({"block": block, "group": pa.array(groups.astype(np.int32)), "paths": pa.array(packed, pa.binary())})
+        runs = b.runs()
+        packed = [_pack(b.path[s:e]) for _, s, e in runs]
+        block = pa.array(np.full(len(runs), table.column("block")[0].as_py(), np.int32))
+        return pa.table({"block": block, "group": pa.array([g for g, _, _ in runs], pa.int32()), "paths": pa.array(packed, pa.binary())})
 
     def receive(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
@@ -192,8 +196,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, block_bytes: int = 6
         b = _Block(table, heavy, window, n_groups)
         earlier = np.zeros(len(b.path), bool)
         by_group = dict(zip(replies.column("group").to_pylist(), replies.column("bits").to_pylist(), strict=True))
-        groups, starts = np.unique(b.group, return_index=True)
-        for g, s, e in zip(groups.tolist(), starts.tolist(), [*starts[1:].tolist(), len(b.group)], strict=True):
+        for g, s, e in b.runs():
             earlier[s:e] = np.unpackbits(np.frombuffer(by_group[g], np.uint8), count=e - s)
         doc, word = b.spans(earlier)
         at = np.lexsort((word, doc))

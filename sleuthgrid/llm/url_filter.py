@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-#: Bits for a key, hashes for a key, and the most bits of a level that is sent with the plan.
+#: Bits for a key, hashes for a key at most, and the most bits of a level that is sent with the plan.
 BITS_PER_KEY, HASHES, MAX_BITS = 24, 7, 1 << 27
 
 
@@ -67,6 +67,7 @@ def _slot(key: Column, level: int, i: int, bits: int) -> Column:
 class Level:
     number: int
     bits: int
+    hashes: int
     filled: bytes
 
     def takes(self, key: Column) -> Column:
@@ -74,19 +75,20 @@ class Level:
             byte = F.substring(F.lit(self.filled), (F.shiftright(slot, 3) + 1).cast("int"), F.lit(1))
             return F.bit_get(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(slot, F.lit(8)).cast("int")) == 1
 
-        return reduce(lambda x, y: x & y, [bit(_slot(key, self.number, i, self.bits)) for i in range(HASHES)])
+        return reduce(lambda x, y: x & y, [bit(_slot(key, self.number, i, self.bits)) for i in range(self.hashes)])
 
 
 def _level(number: int, keys: DataFrame, count: int, bits_per_key: int, block: int) -> Level:
     bits = -(-max(1, count * bits_per_key) // block) * block
     if bits > MAX_BITS:
         raise ValueError(f"level {number} needs {bits} bits for {count} keys; the most is {MAX_BITS}: raise bits_per_key, so that fewer keys are taken wrongly")
-    slots = keys.select(F.explode(F.array(*(_slot(F.col("key"), number, i, bits) for i in range(HASHES)))).alias("slot"))
+    hashes = max(1, min(HASHES, bits_per_key * 7 // 10))
+    slots = keys.select(F.explode(F.array(*(_slot(F.col("key"), number, i, bits) for i in range(hashes)))).alias("slot"))
     parts = slots.groupBy(F.expr("bitmap_bucket_number(slot + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("part")).collect()
     filled = bytearray(-(-bits // 32768) * 4096)
     for r in parts:
         filled[4096 * (r["bucket"] - 1) : 4096 * r["bucket"]] = r["part"]
-    return Level(number, bits, bytes(filled))
+    return Level(number, bits, hashes, bytes(filled))
 
 
 def cascade(listed: DataFrame, universe: DataFrame, *, bits_per_key: int = BITS_PER_KEY, block: int = 32768) -> list[Level]:
@@ -98,7 +100,7 @@ def cascade(listed: DataFrame, universe: DataFrame, *, bits_per_key: int = BITS_
     wrong = universe.select("key").where("key is not null")
     right, levels = listed, []
     while n := right.count():
-        level = _level(len(levels) + 1, right, n, bits_per_key, block)
+        level = _level(len(levels) + 1, right, n, bits_per_key << len(levels) // 4, block)  # more bits later on, so that it ends however few are asked for
         levels.append(level)
         # what this level must not take, and takes, is what the next one encodes
         taken = wrong.where(level.takes(F.col("key")))
