@@ -182,30 +182,35 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[int]]]:
         labels.append(0)
         for _ in range(int(rng.integers(0, 5))):
             rest(pick(["links", "short", "prose", "form", "links"]))
+        mark = pick(["", "", "", "", "", " |", " \u00b7", "\u2022", "***", "\u00a9"])  # some articles are full of signs
+
+        def own(lo: int, hi: int, mark: str = mark) -> str:
+            return " ".join(w + mark for w in prose(lo, hi).split(" "))
+
         tag, name = pick(_MAIN)
         wrapped = some(0.4)
         if wrapped:
             out.append(opened("div", pick(["wrapper", "page", "container", "site", "layout"])))
         out.append(opened(tag, name))
         if some(0.7):
-            put(pick(["h1", "h2"]), prose(2, 12), 1)
+            put(pick(["h1", "h2"]), own(2, 12), 1)
         for _ in range(int(rng.integers(1, 9))):
             kind = rng.random()
             if kind < 0.75:
-                put("p", prose(1, 90) + (f' <a href="/y">{prose(1, 3)}</a> {prose(2, 20)}' if some(0.2) else ""), 1)
+                put("p", own(1, 90) + (f' <a href="/y">{own(1, 3)}</a> {own(2, 20)}' if some(0.2) else ""), 1)
             elif kind < 0.83:
-                put(pick(["h2", "h3"]), prose(1, 7)[:-1], 1)
+                put(pick(["h2", "h3"]), own(1, 7)[:-1], 1)
             elif kind < 0.9:
                 out.append("<ul>")
                 for _ in range(int(rng.integers(2, 5))):
-                    put("li", prose(2, 15), 1)
+                    put("li", own(2, 15), 1)
                 out.append("</ul>")
             elif kind < 0.94:
                 out.append("<blockquote>")
-                put("p", prose(4, 40), 1)
+                put("p", own(4, 40), 1)
                 out.append("</blockquote>")
             elif kind < 0.97:
-                put("pre", prose(3, 20), 1)
+                put("pre", own(3, 20), 1)
             else:
                 rest(pick(["prose", "links", "form", "short"]))
         if some(0.15):
