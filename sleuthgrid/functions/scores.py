@@ -91,9 +91,6 @@ def entity_score(c: dict[str, Column]) -> Column:
     return F.when(c["verified"], 0.97).when(~c["verified"], 0.05).otherwise(clamp(total))
 
 
-DISPOSITIONS = ["suggest_close", "needs_analyst", "escalate"]
-
-
 def triage(malicious: Column, injected: Column, answered: Column, bad_role: Column, p: Column, blocked: Column) -> Column:
     """Order matters: listings and injection first, then answers, then probability (.465 and .115; null counts as .5)."""
     chance = F.coalesce(p, F.lit(0.5))
@@ -102,5 +99,5 @@ def triage(malicious: Column, injected: Column, answered: Column, bad_role: Colu
 
 def worst_disposition(disposition: Column) -> Column:
     """Aggregate: the worst one; no rows need an analyst."""
-    rank = F.array_position(F.array(*map(F.lit, DISPOSITIONS)), disposition)
-    return F.coalesce(F.element_at(F.array(*map(F.lit, DISPOSITIONS)), F.nullif(F.max(rank).cast("int"), F.lit(0))), F.lit("needs_analyst"))
+    worst = F.max(F.when(disposition == "escalate", 3).when(disposition == "needs_analyst", 2).when(disposition == "suggest_close", 1))
+    return F.when(worst == 3, "escalate").when(worst == 1, "suggest_close").otherwise("needs_analyst")

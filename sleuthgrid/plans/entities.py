@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, names, scores
@@ -12,7 +12,10 @@ from ..tables import read
 from .catalog import Catalog
 
 catalog = Catalog()
-CUT = F.lit("1997-01-01").cast("timestamp_ntz")
+
+
+def _since_cut() -> Column:
+    return F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")
 
 
 @catalog.query("""
@@ -22,8 +25,8 @@ SELECT coalesce(o.k, n.k) AS o_custkey, CASE WHEN o.k IS NULL THEN 'added' WHEN
 """)
 def snapshot_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
-    held = orders.where(F.col("o_orderdate") < CUT).select("o_custkey", (F.col("o_custkey") % 5 != 0).alias("active"))
-    return merge.reconcile(held, orders.where(F.col("o_orderdate") >= CUT), "o_custkey")
+    held = orders.where(~_since_cut()).select("o_custkey", (F.col("o_custkey") % 5 != 0).alias("active"))
+    return merge.reconcile(held, orders.where(_since_cut()), "o_custkey")
 
 
 @catalog.query("""

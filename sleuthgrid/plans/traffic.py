@@ -13,7 +13,6 @@ from ..tables import read
 from .catalog import Catalog
 
 catalog = Catalog()
-K = F.get_json_object("props", "$.k").cast("long")
 
 
 @catalog.query("""
@@ -36,7 +35,7 @@ SELECT coalesce(t.collector, e.collector) AS collector, runs, seconds, evidence,
 """)
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
-    timings = events.where("event_id % 3 <> 0").select(F.col("event_type").alias("collector"), K.alias("seconds"))
+    timings = events.where("event_id % 3 <> 0").select(F.col("event_type").alias("collector"), F.get_json_object("props", "$.k").cast("long").alias("seconds"))
     evidence = events.where("user_id % 2 = 0").select(F.col("event_type").alias("collector"), (F.col("event_id") % 2).alias("confidence"))
     return summaries.scorecard(timings, evidence)
 
