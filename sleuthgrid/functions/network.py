@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +31,48 @@ def is_private(address: Column) -> Column:
         start = sum(int(p) << (24 - 8 * i) for i, p in enumerate(first.split(".")))
         out = out | n.between(start, start + (1 << (32 - bits)) - 1)
     return out
+
+
+# Networks that no end user is given, those of one edge provider, and internal ones.
+UNROUTABLE = "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4 ::1/128 ::/128 fc00::/7 fe80::/10 2001:db8::/32 ff00::/8".split()
+EDGE = "173.245.48.0/20 103.21.244.0/22 103.22.200.0/22 103.31.4.0/22 141.101.64.0/18 108.162.192.0/18 190.93.240.0/20 188.114.96.0/20 197.234.240.0/22 198.41.128.0/17 162.158.0.0/15 104.16.0.0/13 104.24.0.0/14 172.64.0.0/13 131.0.72.0/22 2400:cb00::/32 2606:4700::/32 2803:f800::/32 2405:b500::/32 2405:8100::/32 2a06:98c0::/29 2c0f:f248::/32".split()
+INTERNAL = "10.0.0.0/8 172.16.0.0/12 192.168.0.0/16 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 224.0.0.0/4 0.0.0.0/32 fc00::/7 fe80::/10 ff00::/8 ::1/128 ::/128".split()
+
+
+def ip6_hex(address: Column) -> Column:
+    """An IPv6 address as 32 hex digits, in whose order addresses sort; null for anything else. Zones after % are dropped."""
+    text = F.lower(F.substring_index(F.trim(address), "%", 1))
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    head, tail = groups(F.substring_index(text, "::", 1)), groups(F.when(text.contains("::"), F.substring_index(text, "::", -1)).otherwise(""))
+    missing = 8 - F.size(head) - F.size(tail)
+    filled = F.when(text.contains("::"), F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), tail)).otherwise(head)
+    whole = F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), "")
+    shaped = text.rlike("^[0-9a-f:]*$") & text.contains(":") & ~text.rlike(":::|::.*::|^:[^:]|[^:]:$|[0-9a-f]{5}")
+    return F.when(shaped & (F.size(filled) == 8) & (~text.contains("::") | (missing >= 1)), whole)
+
+
+def within(address: Column, networks: list[str]) -> Column:
+    """Whether an IPv4 or IPv6 address lies in one of the networks; null if it isn't an address."""
+    four, six = ip_number(F.trim(address)), ip6_hex(address)
+    in4 = in6 = F.lit(False)
+    for network in map(ipaddress.ip_network, networks):
+        first, last = network.network_address, network.broadcast_address
+        if network.version == 4:
+            in4 = in4 | four.between(int(first), int(last))
+        else:
+            in6 = in6 | six.between(f"{int(first):032x}", f"{int(last):032x}")
+    return F.when(four.isNotNull(), in4).when(six.isNotNull(), in6)
+
+
+def is_eligible(address: Column) -> Column:
+    """Whether an address is worth a lookup: an address, routable, and not of the edge provider."""
+    return F.coalesce(~within(address, UNROUTABLE + EDGE), F.lit(False))
+
+
+def is_public(address: Column) -> Column:
+    return F.coalesce(~within(address, UNROUTABLE), F.lit(False))
+
+
+def is_routable(address: Column) -> Column:
+    """Whether it isn't internal plumbing; networks for documentation count as routable here."""
+    return F.coalesce(~within(address, INTERNAL), F.lit(False))
