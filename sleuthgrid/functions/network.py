@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,27 +42,34 @@ INTERNAL = "10.0.0.0/8 172.16.0.0/12 192.168.0.0/16 100.64.0.0/10 127.0.0.0/8 16
 
 def ip6_hex(address: Column) -> Column:
     """An IPv6 address as 32 hex digits, in whose order addresses sort; null for anything else. Zones after % are dropped."""
-    text = F.lower(F.substring_index(F.trim(address), "%", 1))
     groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
-    head, tail = groups(F.substring_index(text, "::", 1)), groups(F.when(text.contains("::"), F.substring_index(text, "::", -1)).otherwise(""))
-    missing = 8 - F.size(head) - F.size(tail)
-    filled = F.when(text.contains("::"), F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), tail)).otherwise(head)
-    whole = F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), "")
-    shaped = text.rlike("^[0-9a-f:]*$") & text.contains(":") & ~text.rlike(":::|::.*::|^:[^:]|[^:]:$|[0-9a-f]{5}")
-    return F.when(shaped & (F.size(filled) == 8) & (~text.contains("::") | (missing >= 1)), whole)
+    shape = lambda t: t.rlike("^[0-9a-f:]*$") & t.contains(":") & ~t.rlike(":::|::.*::|^:[^:]|[^:]:$|[0-9a-f]{5}")
+    parts = lambda t: F.struct(groups(F.substring_index(t, "::", 1)).alias("head"), groups(F.when(t.contains("::"), F.substring_index(t, "::", -1)).otherwise("")).alias("tail"), t.contains("::").alias("short"))
+
+    def joined(p: Column) -> Column:
+        missing = 8 - F.size(p["head"]) - F.size(p["tail"])
+        filled = F.concat(p["head"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), p["tail"])
+        return F.when(F.when(p["short"], missing >= 1).otherwise(missing == 0), F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
+
+    return let(F.lower(F.substring_index(F.trim(address), "%", 1)), lambda t: F.when(shape(t), let(parts(t), joined)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is written and worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def address_key(address: Column) -> Column:
+    """4 and 8 hex digits, or 6 and 32: in the order of the addresses of each version; null if it isn't an address."""
+    four = F.concat(F.lit("4"), F.lpad(F.hex(ip_number(F.trim(address))), 8, "0"))
+    return F.lower(F.coalesce(four, F.concat(F.lit("6"), ip6_hex(address))))
 
 
 def within(address: Column, networks: list[str]) -> Column:
     """Whether an IPv4 or IPv6 address lies in one of the networks; null if it isn't an address."""
-    four, six = ip_number(F.trim(address)), ip6_hex(address)
-    in4 = in6 = F.lit(False)
-    for network in map(ipaddress.ip_network, networks):
-        first, last = network.network_address, network.broadcast_address
-        if network.version == 4:
-            in4 = in4 | four.between(int(first), int(last))
-        else:
-            in6 = in6 | six.between(f"{int(first):032x}", f"{int(last):032x}")
-    return F.when(four.isNotNull(), in4).when(six.isNotNull(), in6)
+    keys = lambda n: [f"{n.version}{int(x):0{n.max_prefixlen // 4}x}" for x in (n.network_address, n.broadcast_address)]
+    ranges = F.array(*(F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in (keys(ipaddress.ip_network(n)) for n in networks)))
+    return let(address_key(address), lambda k: F.when(k.isNotNull(), F.exists(ranges, lambda r: k.between(r["lo"], r["hi"]))))
 
 
 def is_eligible(address: Column) -> Column:
