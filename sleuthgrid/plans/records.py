@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identity, network
+from ..functions import identity, mail, network
 from ..functions import text as tx
 from ..functions import web
-from ..operators import records
+from ..operators import alerts, records
 from ..tables import read
 from .catalog import Catalog
 
@@ -135,3 +135,31 @@ def transfer_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     services = [named(t, k, m).where("k % 5 = 0").select("chain", "address", F.lit("mixer").alias("kind")) for t, k, m, _ in both]
     transfers = read(spark, sf_dir, "lineitem").select(F.lit("eth").alias("chain"), F.concat(F.lit("0xs"), "l_suppkey").alias("sender"), F.concat(F.lit("0xp"), "l_partkey").alias("receiver"), "l_orderkey", "l_linenumber")
     return records.transfer_alerts(transfers, labels[0].union(labels[1]), services[0].union(services[1])).drop("chain", "sender", "receiver")
+
+
+@catalog.query("""
+WITH e AS (SELECT event_id, user_id, event_type, '8.8.' || user_id % 200 || '.' || event_id % 200 AS ip, event_id % 4 AS form FROM events)
+SELECT event_id, CASE form WHEN 0 THEN 'outbound_conn' WHEN 1 THEN 'inbound_conn' WHEN 2 THEN 'dns_query' ELSE 'web_request' END AS kind, CASE form WHEN 2 THEN 'h' || user_id || '.example.com' WHEN 3 THEN 'http://' || ip || '/' || event_type ELSE ip END AS first_indicator, CASE WHEN form = 1 THEN 1 ELSE 0 END AS n_local FROM e
+""")
+def alert_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ip = F.concat(F.lit("8.8."), F.col("user_id") % 200, F.lit("."), F.col("event_id") % 200)
+    forms = [
+        F.to_json(F.struct(F.struct(ip.alias("ip")).alias("destination"))), F.to_json(F.struct(ip.alias("src_ip"), F.lit("10.0.0.1").alias("dest_ip"))),
+        F.to_json(F.struct(F.struct(F.struct(F.concat(F.lit("H"), "user_id", F.lit(".Example.com.")).alias("name")).alias("question")).alias("dns"))), F.to_json(F.struct(F.concat(F.lit("http://"), ip, F.lit("/"), "event_type").alias("url"))),
+    ]
+    form = F.col("event_id") % 4
+    raw = read(spark, sf_dir, "events").select("event_id", F.when(form == 0, forms[0]).when(form == 1, forms[1]).when(form == 2, forms[2]).otherwise(forms[3]).alias("text"))
+    found = alerts.normalise(raw, ["event_id"], "text")
+    return found.select("event_id", "kind", F.element_at("indicators", 1)["value"].alias("first_indicator"), F.size("kept_local").alias("n_local"))
+
+
+@catalog.query("""
+SELECT o_orderkey, 3 AS n_hops, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS trusted, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN NULL ELSE '8.8.' || o_custkey % 200 || '.1' END AS origin FROM orders
+""")
+def mail_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    second = F.when(F.col("o_orderkey") % 3 == 0, "mx.other.org").otherwise("b.mx.example.com")
+    handed = F.when(F.col("o_orderkey") % 5 == 0, "10.1.1.1").otherwise(F.concat(F.lit("8.8."), F.col("o_custkey") % 200, F.lit(".1")))
+    blob = F.concat(F.lit("Received: from x ([10.0.0.9])\n by a.mx.example.com with ESMTP; d\nReceived: from y.net (y.net by z ["), handed, F.lit("])\n by "), second, F.lit(" with SMTP; d\nReceived: from z.net ([7.7.7.7]) by y.net; d\nFrom: a@z.net\n\nbody"))
+    chain = read(spark, sf_dir, "orders").select("o_orderkey", mail.hops(mail.headers(blob)).alias("c"))
+    counted = chain.select("o_orderkey", "c", F.size("c").alias("n_hops"), mail.trusted_hops(F.col("c")).alias("trusted"))
+    return counted.select("o_orderkey", "n_hops", "trusted", mail.origin(F.col("c"), F.col("trusted")).alias("origin"))

@@ -1,11 +1,12 @@
 import math
+import os
 
 import duckdb
 import pytest
 
 from sleuthgrid.plans import entities, lookups, records, traffic
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = traffic.catalog.queries | entities.catalog.queries | lookups.catalog.queries | records.catalog.queries
 SQL = traffic.catalog.sql | entities.catalog.sql | lookups.catalog.sql | records.catalog.sql
 
