@@ -74,3 +74,13 @@ def visitor_key(salt: Column, address: Column, user_agent: Column) -> Column:
     """Sixteen hex digits of a salted hash; a salt that changes daily keeps visitors apart across days."""
     raw = F.concat(salt, F.lit("|"), F.trim(F.coalesce(address, F.lit(""))), F.lit("|"), F.substring(F.coalesce(user_agent, F.lit("")), 1, 200))
     return F.substring(F.sha2(raw, 256), 1, 16)
+
+
+# Paths that the service asks of itself.
+SELF_PATHS = "/health /favicon /static/ /robots.txt /sitemap".split()
+
+
+def scan_reason(path: Column, user_agent: Column) -> Column:
+    """Why a request counts as scanning: probe_path before bot_ua; null for others and for the service's own paths."""
+    own = F.lower(F.coalesce(path, F.lit(""))).rlike(any_of(SELF_PATHS))
+    return F.when(own, None).when(is_probe(path), "probe_path").when(is_bot(user_agent), "bot_ua")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from sleuthgrid.functions import identity, network
+from sleuthgrid.functions import identity, network, web
 from sleuthgrid.operators import records
 from tests.test_functions import one
 
@@ -61,3 +61,8 @@ def test_transfers_alert_once(spark):
     got = sorted((r["id"], r["severity"], r["direction"], r["mixer_involved"], r["tags"]) for r in records.transfer_alerts(moves, labels, services).collect())
     assert got == [(1, "S2", "sent", True, "w, x"), (3, "S3", "received", False, "w, x")]
     assert sorted(r["id"] for r in records.transfers_of(moves, "0xcc").collect()) == [1, 2]
+
+
+def test_scan_reasons(spark):
+    rows = spark.createDataFrame([("/a/.env", "curl/8"), ("/static/x", "curl/8"), ("/", "curl/8"), ("/", "Mozilla/5.0 (X11)"), (None, None)], "p string, a string")
+    assert [r[0] for r in rows.select(web.scan_reason(F.col("p"), F.col("a"))).collect()] == ["probe_path", None, "bot_ua", None, "bot_ua"]
