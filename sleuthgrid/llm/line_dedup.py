@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment.
 
 A line's first holder is the least doc_id that has it. Every later document which has the line is
-paired with that holder, so a line that r documents share makes r - 1 pairs, however frequent it is,
-and a rare one seeds the same pair as an alignment of all its holders would. Paired documents are
-aligned by patience diff on line hashes: lines unique in both, in their longest common order, are
-anchors, and equal lines around them join the anchors' blocks. Blocks of at least `min_words` words
-are deleted from the later document. Only line hashes are shuffled to be aligned, no text.
+paired with that holder, so a line that r documents share makes r - 1 pairs, however frequent it is.
+Paired documents are aligned by patience diff on line hashes: lines unique in both, in their longest
+common order, are anchors, and equal lines around them join the anchors' blocks. Blocks of at least
+`min_words` words are deleted from the later document. An alignment keeps order, so a line of
+`min_words` words that the pair has in another order is deleted after it; as each such line is in
+its first holder, no other earlier holder could delete it from a document that keeps it. Only line
+hashes are shuffled to be aligned, no text.
 """
 
 from __future__ import annotations
@@ -141,11 +143,12 @@ def line_deletions(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
         for b in batches:
             gone = []
             for own, words, before in zip(*(b.column(c).to_pylist() for c in ("hashes", "words", "before")), strict=True):
-                at: list[int] = []
+                held = set(before)
+                at = {j for j, (x, n) in enumerate(zip(own, words, strict=True)) if n >= min_words and x in held}
                 for _, j, n in align(before, own):
                     if sum(words[j : j + n]) >= min_words:
-                        at.extend(range(j, j + n))
-                gone.append(at)
+                        at.update(range(j, j + n))
+                gone.append(sorted(at))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("print"), pa.array(gone, _WORDS)], ["doc_id", "print", "gone"])
 
     found = both.mapInArrow(delete, "doc_id long, print long, gone array<int>").where(F.size("gone") > 0)

@@ -41,3 +41,10 @@ def test_odd_rows(spark):
     kept = drop_repeated_lines(df)
     assert kept.columns == df.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 4, 5, None]
     assert dedup_lines(df.limit(0)).collect() == []
+
+
+def test_lines_in_another_order_than_their_first_holder_has(spark):
+    one, two, three = ("line number one has six words", "line number two has six words", "line number three has six words")
+    rows = [(1, [one, two, three]), (2, [two, one]), (3, [two, one]), (4, [three, "own four words here now", two, one])]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(df).collect()} == {1: "\n".join(rows[0][1]), 2: "", 3: "", 4: "own four words here now"}
