@@ -1,12 +1,14 @@
 """Line dedup by pairwise alignment.
 
-A line's first holder is the least doc_id that has it. Every later document which has the line is
-paired with that holder, so a line that r documents share makes r - 1 pairs, however frequent it is.
-Paired documents are aligned by patience diff on line hashes: lines unique in both, in their longest
-common order, are anchors, and equal lines around them join the anchors' blocks. Blocks of at least
-`min_words` words are deleted from the later document. An alignment keeps order, so a line of
-`min_words` words that the pair has in another order is deleted after it; as each such line is in
-its first holder, no other earlier holder could delete it from a document that keeps it. Only line
+A run is some consecutive lines, blank ones between them, that together reach `min_words` words and
+would not without the last, or without the first; a line of `min_words` words is a run. A run's first
+holder is the least doc_id that has it. Every later document which has the run is paired with that
+holder, so a run that r documents share makes r - 1 pairs, however frequent it is. Paired documents
+are aligned by patience diff on line hashes: lines unique in both, in their longest common order,
+are anchors, and equal lines around them join the anchors' blocks. Blocks of at least `min_words`
+words are deleted from the later document. An alignment keeps order, so runs that the pair has in
+another order are deleted after it. Every line with words of a block which an alignment may delete is in
+a run of that block, so no other earlier holder could delete words that a document keeps. Only line
 hashes are shuffled to be aligned, no text.
 """
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -128,14 +131,47 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return joined
 
 
+def runs(words: list[int], min_words: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the shortest runs of min_words words or more from each line with words on, and up to each."""
+    upto = [0, *accumulate(words)]
+    start = end = 0
+    for i, n in enumerate(words):
+        if n < min(min_words, 1):
+            continue
+        end = max(end, i + 1)
+        while end < len(words) and upto[end] - upto[i] < min_words:
+            end += 1
+        if upto[end] - upto[i] >= min_words:
+            yield i, end
+        while start < i and upto[i + 1] - upto[start + 1] >= min_words:
+            start += 1
+        if start < i and upto[i + 1] - upto[start] >= min_words:
+            yield start, i + 1
+
+
+def _seeds(hashes: list[int], words: list[int], min_words: int) -> list[int]:
+    """One hash for each distinct run."""
+    found = set()
+    for s, e in runs(words, min_words):
+        x = hashes[s]
+        for y in hashes[s + 1 : e]:
+            x = ((x ^ (x >> 29 & 0x7FFFFFFFF)) * 0x9E3779B97F4A7C15 + y + 1) & 0xFFFFFFFFFFFFFFFF
+        found.add(x - (1 << 64) if x >> 63 == 1 else x)
+    return list(found)
+
+
 def line_deletions(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
     """(doc_id, print, gone): of each document that loses lines their places, print telling apart rows of one doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     rows = rows.select("doc_id", F.xxhash64("text").alias("print"), lines(F.col("text")).alias("l")).select("doc_id", "print", "l.*").where(F.size("hashes") > 0)
     rows = materialize(rows, "line-hashes")
-    seeds = rows.select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("x")).where(F.col("x.words") >= min_words).select("doc_id", F.col("x.hashes").alias("line"))
-    first = seeds.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("line", "first")
-    pairs = seeds.join(first, "line").where("doc_id > first").select("doc_id", "first").distinct()
+
+    def seed(hashes: pa.Array, words: pa.Array) -> pa.Array:
+        return pa.array([_seeds(h, w, min_words) for h, w in zip(hashes.to_pylist(), words.to_pylist(), strict=True)], _LINE)
+
+    seeds = rows.select("doc_id", F.explode(F.arrow_udf(seed, "array<long>")("hashes", "words")).alias("run"))
+    first = seeds.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
+    pairs = seeds.join(first, "run").where("doc_id > first").select("doc_id", "first").distinct()
     holders = rows.select(F.col("doc_id").alias("first"), F.col("hashes").alias("before"))
     both = pairs.join(rows, "doc_id").join(holders, "first").select("doc_id", "print", "hashes", "words", "before")
 
@@ -143,11 +179,17 @@ def line_deletions(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
         for b in batches:
             gone = []
             for own, words, before in zip(*(b.column(c).to_pylist() for c in ("hashes", "words", "before")), strict=True):
-                held = set(before)
-                at = {j for j, (x, n) in enumerate(zip(own, words, strict=True)) if n >= min_words and x in held}
+                at: set[int] = set()
                 for _, j, n in align(before, own):
                     if sum(words[j : j + n]) >= min_words:
                         at.update(range(j, j + n))
+                left = [(s, e) for s, e in runs(words, min_words) if not at.issuperset(range(s, e))]
+                if left:
+                    size = dict(zip(own, words, strict=True))  # lines that own hasn't are in no run of both
+                    held = {tuple(before[s:e]) for s, e in runs([size.get(x, min_words) for x in before], min_words)}
+                    for s, e in left:
+                        if tuple(own[s:e]) in held:
+                            at.update(range(s, e))
                 gone.append(sorted(at))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("print"), pa.array(gone, _WORDS)], ["doc_id", "print", "gone"])
 
@@ -158,7 +200,7 @@ def line_deletions(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
 def dedup_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
     """docs with the deleted lines gone from text, n_chars (if there) set to its length, and n_removed lines (long).
 
-    Each line is kept in the least doc_id that has it. Lines are compared by their words, so white
+    Each block is kept in the least doc_id that has it. Lines are compared by their words, so white
     space at their ends doesn't matter. A block counts from min_words words; shorter ones and blank
     lines outside blocks stay. Null doc_id or text: the row stays as it is. Rows that repeat a doc_id
     lose nothing to each other. Empty table: no rows. Further columns stay, but for n_removed.

@@ -48,3 +48,24 @@ def test_lines_in_another_order_than_their_first_holder_has(spark):
     rows = [(1, [one, two, three]), (2, [two, one]), (3, [two, one]), (4, [three, "own four words here now", two, one])]
     df = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in dedup_lines(df).collect()} == {1: "\n".join(rows[0][1]), 2: "", 3: "", 4: "own four words here now"}
+
+
+def test_blocks_of_short_lines_as_brute_force(spark):
+    rng = random.Random(11)
+    alphabet = ["", "", *(" ".join(f"w{i}" for _ in range(n)) for i, n in enumerate([1, 1, 2, 2, 3, 3, 4, 4, 5, 7]))]
+    verse = [f"verse {i} of four" for i in range(30)]
+    docs = [[rng.choice(alphabet) for _ in range(rng.randint(1, 9))] for _ in range(80)] + [["one", *verse], ["other", *verse, "end"]]
+    want = {}
+    for d, own in enumerate(docs):
+        gone = set()
+        for before in docs[:d]:
+            for i in range(len(before)):
+                for j in range(len(own)):
+                    n = 0
+                    while i + n < len(before) and j + n < len(own) and before[i + n] == own[j + n]:
+                        n += 1
+                    if sum(len(words(x)) for x in own[j : j + n]) >= 5:
+                        gone.update(range(j, j + n))
+        want[d] = [x for j, x in enumerate(own) if x and j not in gone]
+    df = spark.createDataFrame([(d, "\n".join(x)) for d, x in enumerate(docs)], "doc_id long, text string")
+    assert want[81] == ["other", "end"] and {r["doc_id"]: [x for x in r["text"].split("\n") if x] for r in dedup_lines(df).collect()} == want
