@@ -116,10 +116,11 @@ WITH h AS (SELECT doc_id, upper(lpad(to_hex(doc_id * 2654435761), 12, '0')) AS x
 SELECT doc_id, x[1:2] || ':' || x[3:4] || ':' || x[5:6] || ':' || x[7:8] || ':' || x[9:10] || ':' || x[11:12] AS mac, (('0x' || x[1:2])::INT >> 1) % 2 = 1 AS is_local FROM h
 """)
 def mac_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.lower(F.lpad(F.hex(F.col("doc_id") * 2654435761), 12, "0"))
+    # the product modulo 2**48, by halves of 24 bits so that it stays a long for every doc_id
+    raw = F.lower(F.lpad(F.hex(F.expr("(((shiftright(doc_id, 24) & 16777215L) * 2654435761L & 16777215L) * 16777216L + (doc_id & 16777215L) * 2654435761L) & 281474976710655L")), 12, "0"))
     dashed = F.regexp_replace(raw, "(....)(?!$)", "$1.")
     mac = tx.mac_canonical(dashed)
-    return read(spark, sf_dir, "documents").where("doc_id * 2654435761L < 281474976710656L").select("doc_id", mac.alias("mac"), tx.mac_is_local(mac).alias("is_local"))
+    return read(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", mac.alias("mac"), tx.mac_is_local(mac).alias("is_local"))
 
 
 @catalog.query(r"""
