@@ -39,11 +39,7 @@ def _hash_lines(column: pa.Array) -> Iterator[tuple[list[int], list[int]]]:
         bounds = np.unique(np.concatenate([off, breaks]))
         w = Words(d, bounds)
         counts = w.counts()
-        hashes = np.zeros(len(counts), np.uint64)
-        for n in np.unique(counts[counts > 0]).tolist():
-            own = np.flatnonzero(counts == n)
-            hashes[own] = w.prefix(n, w.offsets[own])
-        hashes = hashes.view(np.int64)
+        hashes = w.whole(w.offsets[:-1], w.offsets[1:]).view(np.int64)
         of = np.searchsorted(bounds, off)
         for i, (s, e) in enumerate(zip(of[:-1].tolist(), of[1:].tolist(), strict=True)):
             # an empty text has no segment; one that starts with a break has its first line empty
