@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +52,33 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+def merged_counts(rows: DataFrame, sizes: list[int]) -> list[np.ndarray]:
+    """Sums of counts that tasks made: rows of `part` int and `counts` binary (64-bit), part k of sizes[k] numbers.
+
+    A part's rows are added up one at a time, so memory and what reaches the driver are of fixed size.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, None
+        for b in batches:
+            for own, counts in zip(b.column("part").to_pylist(), b.column("counts"), strict=True):
+                counts = np.frombuffer(counts.as_py(), "<i8")
+                if own == part:
+                    total += counts
+                    continue
+                if part is not None:
+                    yield one(part, total)
+                part, total = own, counts.copy()
+        if part is not None:
+            yield one(part, total)
+
+    def one(part: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+
+    out = [np.zeros(n, np.int64) for n in sizes]
+    dealt = rows.repartition(min(len(sizes), 2 * partitions(rows.sparkSession)), "part").sortWithinPartitions("part")
+    for r in dealt.mapInArrow(add, "part int, counts binary").collect():
+        out[r["part"]] += np.frombuffer(r["counts"], "<i8")
+    return out

@@ -1,15 +1,20 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-The suffixes (word positions) of all texts are split by variable-length word prefixes into groups
-that fit in memory: a prefix which begins too many suffixes is lengthened by a word, and at last
-to the whole window, where the trees are cut. A group's subtree is its suffixes sorted by path; the
-path down to the cut is held as a 64-bit fingerprint, so a node at the cut is a run of equal
-fingerprints. A node with leaves in several documents is a deep internal node: a repeat of `window`
-words. Such nodes at adjacent positions join into the maximal repeats, a document's spans.
-
-Documents are dealt into blocks by the order of doc_id. A block sends each group its own sorted
-distinct paths (a passage that a third of the rows share is one entry a block) and gets back a bit
-for each: whether an earlier block has the node too. Text is shuffled once.
+The suffixes (word positions) of all texts are split by their prefixes into groups that fit in
+memory. A suffix that begins at each word would send every word `window` times, so each window is represented by
+one suffix in it: the one whose first GRAM words have the least fingerprint. Equal windows
+choose the same one, so they meet in one group; neighbouring windows mostly choose the same one as
+well and are sent together, as a stretch of words with that suffix in it. Prefixes are of variable length: one
+that begins too many suffixes is lengthened by a word, and at last to the whole window.
+
+A group builds its subtree from real words: the suffixes of its distinct stretches, sorted, and the
+length of the prefix that each shares with the one before. A deep internal node, of `window` words or more, is a
+run of suffixes that share as many; all its leaves but those of the least doc_id are repeats. Adjacent
+ones join into the maximal repeats, a document's spans. Words are compared as words throughout;
+fingerprints only deal out work.
+
+What a part of a table holds of a group is one row: its distinct stretches, words as numbers of a
+dictionary, and the rows that have them; so a passage that a third of the rows share is sent once a part.
 """
 
 from __future__ import annotations
@@ -19,142 +24,303 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, texts
-from .words import Words, buffers, chunks, ranges, words_of
-
-#: Words in a prefix before it is lengthened to the whole window.
-DEPTH = 3
-_SLOTS = 1 << 18
-_NULL_ID = np.iinfo(np.int64).max
-
-
-def prefix_counts(docs: DataFrame, window: int, share: float) -> tuple[list[np.ndarray], int, int]:
-    """Slots (hashes) of prefixes of 1..DEPTH words that begin over `share` of all suffixes; suffixes; bytes.
-
-    All texts are counted. A prefix with `share` of all has it in some partition, so only counts
-    with that share leave a task: at most 1/share rows for each length, and as many reach the driver.
-    """
+from .shared import merged_counts, partitions, texts
+from .words import Words, buffers, chunks, mix, ranges
+
+#: Words by which a window chooses its suffix, and the lengths of prefixes, before the whole window.
+GRAM, DEPTHS = 4, (2, 3, 4)
+#: Bytes of text whose stretches are sent together.
+PART_BYTES = 4 << 20
+_BASE, _NULL = 30, np.iinfo(np.int64).max
+
+
+def _depths(window: int) -> list[int]:
+    return [d for d in DEPTHS if d <= window] or [window]
+
+
+def anchors(w: Words, at: np.ndarray, window: int) -> np.ndarray:
+    """Of each window the place of the suffix that stands for it: the first least fingerprint of GRAM words in it."""
+    gram = min(GRAM, window)
+    places = np.arange(max(0, len(w.starts) - gram + 1), dtype=np.uint64)
+    best = w.prefix(gram, places.astype(np.int64)) >> np.uint64(_BASE) << np.uint64(_BASE) | places
+    width, span = 1, window - gram + 1
+    while 2 * width <= span:
+        best = np.minimum(best[:-width], best[width:])
+        width *= 2
+    if width < span:
+        best = np.minimum(best[: len(best) - span + width], best[span - width :])
+    return (best[at] & np.uint64((1 << _BASE) - 1)).astype(np.int64)
+
+
+class Stretches:
+    """The stretches of some texts: first word, number of windows and the suffix that stands for these."""
+
+    def __init__(self, w: Words, window: int):
+        at = w.windows(window)
+        anchor = anchors(w, at, window)
+        new = np.ones(len(at), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
+        self.first, self.anchor = at[new], anchor[new]
+        self.windows = np.diff(np.append(np.flatnonzero(new), len(at)))
+
+    def grouped(self, w: Words, window: int, heavy: list[np.ndarray], slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, windows, prefix fingerprint) of the stretches; those whose prefixes are all heavy go window by window."""
+        prefix, todo = np.zeros(len(self.first), np.uint64), np.arange(len(self.first))
+        for d, over in zip(_depths(window), heavy, strict=True):
+            own = w.prefix(d, self.anchor[todo])
+            light = ~over[_slot(own, slots)]
+            prefix[todo[light]] = own[light]
+            todo = todo[~light]
+        n = self.windows[todo]
+        single = np.repeat(self.first[todo], n) + ranges(n)
+        keep = np.ones(len(self.first), bool)
+        keep[todo] = False
+        join = lambda a, b: np.concatenate([a[keep], b])
+        return join(self.first, single), join(self.windows, np.ones(len(single), np.int64)), join(prefix, w.prefix(window, single))
+
+
+def _slot(prefix: np.ndarray, slots: int) -> np.ndarray:
+    return (prefix & np.uint64(slots - 1)).astype(np.int64)
+
+
+def prefix_counts(docs: DataFrame, window: int, slots: int) -> tuple[list[np.ndarray], int, int]:
+    """Counts of the prefixes of each length by hash slot, over all texts; words; bytes."""
+    depths = _depths(window)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, size = np.zeros((DEPTH, _SLOTS), np.int64), 0
+        sums, size = np.zeros((len(depths), slots), np.int64), np.zeros(2, np.int64)
         for b in batches:
-            for _, _, w in words_of(b.column("text")):
-                at, size = w.windows(window), size + len(w.data)
-                for d in range(min(DEPTH, window)):
-                    sums[d] += np.bincount(_slots(w.prefix(d + 1, at)), minlength=_SLOTS)
-        total = int(sums[0].sum())
-        d, slot = np.nonzero(sums >= max(1, share * total))
-        columns = [[-1, -2, *d.tolist()], [0, 0, *slot.tolist()], [total, size, *sums[d, slot].tolist()]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["depth", "slot", "n"])
-
-    counts = docs.select("text").mapInArrow(count, "depth long, slot long, n long").groupBy("depth", "slot").agg(F.sum("n").alias("n"))
-    rows = counts.collect()
-    total, size = (sum(r["n"] for r in rows if r["depth"] == d) for d in (-1, -2))
-    heavy = [np.array(sorted(r["slot"] for r in rows if r["depth"] == d and r["n"] >= share * total), np.int64) for d in range(DEPTH)]
-    return heavy, total, size
-
-
-def _slots(prefix: np.ndarray) -> np.ndarray:
-    return (prefix & np.uint64(_SLOTS - 1)).astype(np.int64)
-
-
-def _groups(w: Words, at: np.ndarray, whole: np.ndarray, heavy: list[np.ndarray], window: int, n: int) -> np.ndarray:
-    """Of each suffix the group of its prefix: the shortest one that isn't heavy."""
-    prefix = whole.copy()
-    todo = np.arange(len(at))
-    for d in range(min(DEPTH, window)):
-        own = w.prefix(d + 1, at[todo])
-        light = ~np.isin(_slots(own), heavy[d], kind="table") if len(heavy[d]) else np.ones(len(own), bool)
-        prefix[todo[light]] = own[light]
-        todo = todo[~light]
-    return ((prefix >> np.uint64(20)) % np.uint64(n)).astype(np.int32)
-
-
-class _Block:
-    """The suffixes of a block's documents: their distinct paths by group, and what each text has of them."""
-
-    def __init__(self, table: pa.Table, heavy: list[np.ndarray], window: int, n: int):
-        ids = table.column("doc_id").combine_chunks().fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
-        order = np.argsort(ids, kind="stable")
-        self.table, self.ids = table.take(pa.array(order)), ids[order]
-        data, offsets = buffers(self.table.column("text"))
-        paths, groups, self.doc, self.word, self.n_words = [], [], [], [], []
-        for lo, hi in chunks(offsets):
-            w = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            at, per_text = w.windows(window), np.maximum(w.counts() - window + 1, 0)
-            whole = w.prefix(window, at)
-            paths.append(whole)
-            groups.append(_groups(w, at, whole, heavy, window, n))
-            self.doc.append(np.repeat(np.arange(lo, hi, dtype=np.int32), per_text))
-            self.word.append(ranges(per_text).astype(np.int32))
-            self.n_words.append(w.counts())
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        path, group = join(paths, np.uint64), join(groups, np.int32)
-        self.doc, self.word, self.n_words = join(self.doc, np.int32), join(self.word, np.int32), join(self.n_words, np.int64)
-        # Equal paths have equal prefixes, so sorting by (group, path) keeps a node's leaves together, in the order of doc_id.
-        self.order = np.lexsort((path, group))
-        path, group = path[self.order], group[self.order]
-        new = np.ones(len(path), bool)
-        new[1:] = (path[1:] != path[:-1]) | (group[1:] != group[:-1])
-        self.node = np.cumsum(new) - 1
-        self.path, self.group = path[new], group[new]
-        self.first = self.ids[self.doc[self.order[new]]]
-
-    def runs(self) -> list[tuple[int, int, int]]:
-        """Of each group its number and where its nodes begin and end; none for texts without a window."""
-        groups, starts = np.unique(self.group, return_index=True)
-        return list(zip(groups.tolist(), starts.tolist(), np.append(starts, len(self.group))[1:].tolist(), strict=True))
-
-    def spans(self, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Document and word of each window that starts in a smaller doc_id too. earlier: by node, that an earlier block has it."""
-        at = self.order[earlier[self.node] | (self.ids[self.doc[self.order]] > self.first[self.node])]
-        return self.doc[at], self.word[at]
-
-
-def _pack(path: np.ndarray) -> bytes:
-    """Sorted distinct numbers as steps of as few bytes as the widest needs."""
-    steps = np.diff(path, prepend=np.uint64(0))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+            data, offsets = buffers(b.column("text"))
+            for lo, hi in chunks(offsets):
+                w = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                size += (len(w.starts), len(w.data))
+                anchor = Stretches(w, window).anchor
+                for d, own in zip(depths, sums, strict=True):
+                    own += np.bincount(_slot(w.prefix(d, anchor), slots), minlength=slots)
+        parts = [size, *sums]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], ["part", "counts"])
 
+    size, *sums = merged_counts(docs.select("text").mapInArrow(count, "part int, counts binary"), [2, *[slots] * len(depths)])
+    return sums, int(size[0]), int(size[1])
 
-def _unpack(packed: bytes) -> np.ndarray:
-    width = packed[0]
-    steps = np.zeros((len(packed) // width, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers, of as few bytes as the largest needs, compressed; the first byte is the width."""
+    kind = next(k for k in (1, 2, 4, 8) if k == 8 or not len(x) or int(x.max()) < 1 << 8 * k and int(x.min()) >= 0)
+    raw = x.astype(f"<{'i' if kind == 8 else 'u'}{kind}").tobytes()
+    return bytes([kind]) + len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _earlier(table: pa.Table) -> pa.Table:
-    """Of a group's subtree, for each block the nodes that an earlier block has: a bit each, in the order sent."""
-    table = table.sort_by("block")
-    lists = [_unpack(x) for x in table.column("paths").to_pylist()]
-    order = np.argsort(np.concatenate(lists), kind="stable")
-    path = np.concatenate(lists)[order]
-    bits = np.zeros(len(path), bool)
-    bits[order[1:]] = path[1:] == path[:-1]
-    ends = np.cumsum([len(x) for x in lists])
-    packed = [np.packbits(bits[e - len(x) : e]).tobytes() for x, e in zip(lists, ends, strict=True)]
-    return pa.table({"block": table.column("block"), "group": table.column("group"), "bits": pa.array(packed, pa.binary())})
+def _unpack(packed: bytes) -> np.ndarray:
+    raw = pa.decompress(packed[5:], int.from_bytes(packed[1:5], "little"), codec="zstd", asbytes=True) if len(packed) > 5 else b""
+    return np.frombuffer(raw, f"<{'i' if packed[0] == 8 else 'u'}{packed[0]}").astype(np.int64)
+
+
+def _steps(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _unsteps(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed))
+
+
+def _binary(letters: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The pieces of letters that end at `ends`."""
+    offsets = np.zeros(len(ends) + 1, np.int64)
+    offsets[1:] = ends
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))])
+
+
+def _gather(ids: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return ids[np.repeat(first, n) + ranges(n)]
+
+
+def _row_keys(doc_ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row's key and tag. The key is its doc_id, or a fingerprint of its text where that is null; the tag has this as its lowest bit,
+    and 31 bits of the text's fingerprint to tell apart rows that repeat a doc_id."""
+    prints = np.array([xxhash.xxh3_64_intdigest(data[s:e].tobytes()) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64)
+    null = doc_ids.is_null().to_numpy(zero_copy_only=False)
+    key = np.where(null, prints.view(np.int64), doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    return key, ((prints & np.uint64(0x7FFFFFFF)).astype(np.int64) << 1) | null
+
+
+_SENT = "`group` int, words binary, ids binary, lengths binary, holders binary, holder binary, start binary, key binary, tag binary"
+_SENT_NAMES = [f.split()[0].strip("`") for f in _SENT.split(", ")]
+
+
+def _send(keys: np.ndarray, tags: np.ndarray, w: Words, window: int, heavy: list[np.ndarray], slots: int, n_groups: int) -> Iterator[tuple]:
+    """Of a run of texts a row for each group."""
+    first, windows, prefix = Stretches(w, window).grouped(w, window, heavy, slots)
+    if not len(first):
+        return
+    solid = np.zeros(len(w.data) + 1, np.int8)
+    solid[w.starts] += 1
+    solid[w.ends] -= 1
+    encoded = _binary(w.data[np.cumsum(solid[:-1], dtype=np.int8) > 0], np.cumsum(w.ends - w.starts)).dictionary_encode()
+    ids, distinct = encoded.indices.to_numpy(), encoded.dictionary
+    length = windows + window - 1
+    same = _binary(_gather(ids, first, length).astype("<i4").view(np.uint8), 4 * np.cumsum(length)).dictionary_encode().indices.to_numpy()
+    n = int(same.max()) + 1
+    a = np.zeros(n, np.int64)  # of each distinct stretch one that has its words
+    a[same[::-1]] = np.arange(len(same))[::-1]
+    group = ((prefix[a] >> np.uint64(20)) % np.uint64(n_groups)).astype(np.int64)
+    text = np.searchsorted(w.offsets, first, "right") - 1
+    by_group = np.argsort(group, kind="stable")
+    place = np.empty(n, np.int64)
+    place[by_group] = np.arange(n)
+    by_stretch = np.argsort(place[same], kind="stable")
+    ends = np.cumsum(np.bincount(place[same], minlength=n))
+    cuts = np.flatnonzero(np.diff(group[by_group], prepend=-1))
+    for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), n], strict=True):
+        own = a[by_group[s:e]]
+        used, local = np.unique(_gather(ids, first[own], length[own]), return_inverse=True)
+        held = by_stretch[ends[s - 1] if s else 0 : ends[e - 1]]
+        rows, holder = np.unique(text[held], return_inverse=True)
+        words = b" ".join(distinct.take(pa.array(used)).to_pylist())
+        yield (
+            int(group[by_group[s]]), len(words).to_bytes(4, "little") + pa.compress(words, codec="zstd", asbytes=True), _pack(local), _pack(length[own]), _pack(np.diff(ends[s:e], prepend=ends[s - 1] if s else 0)),
+            _pack(holder), _pack(first[held] - w.offsets[text[held]]), _steps(keys[rows]), _pack(tags[rows]),
+        )
+
+
+class Subtree:
+    """The suffixes, of `window` words or more, of a group's stretches: sorted, each with the prefix that it shares with the one before."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray, window: int):
+        pairs = [ids[at + d].astype(np.int64) << 32 | (ids[at + d + 1] if d + 1 < window else 0) for d in range(0, window, 2)]
+        self.order = np.lexsort(pairs[::-1]) if len(at) else np.zeros(0, np.int64)
+        self.shared = np.zeros(len(at), np.int32)
+        place = at[self.order]
+        live = np.arange(1, len(at))
+        for d in range(window):
+            live = live[ids[place[live] + d] == ids[place[live - 1] + d]]
+            self.shared[live] += 1
+
+    def least_below(self, value: np.ndarray, depth: int) -> np.ndarray:
+        """Of each suffix the least value among the leaves of its node at `depth` words."""
+        if not len(self.order):
+            return value
+        starts = np.flatnonzero(self.shared < depth)
+        least = np.minimum.reduceat(value[self.order], starts)
+        out = np.empty_like(value)
+        out[self.order] = np.repeat(least, np.diff(np.append(starts, len(value))))
+        return out
+
+
+_FOUND = "block int, key binary, tag binary, holder binary, start binary, n binary"
+
+
+def _repeats(table: pa.Table, window: int, n_blocks: int) -> pa.Table:
+    """Of a group the windows that start in a smaller doc_id too: rows' keys and, of each run of such windows, first word and number; a row for each block."""
+    columns = {c: table.column(c).to_pylist() for c in _SENT_NAMES[1:]}
+    words = [pa.decompress(x[4:], int.from_bytes(x[:4], "little"), codec="zstd", asbytes=True).split(b" ") for x in columns["words"]]
+    numbers = pa.array([x for own in words for x in own], pa.large_binary()).dictionary_encode().indices.to_numpy()
+    base = np.cumsum([0, *map(len, words)])
+    rows = np.cumsum([0, *(len(_unpack(x)) for x in columns["tag"])])
+    ids = np.concatenate([numbers[_unpack(x) + b] for x, b in zip(columns["ids"], base, strict=False)])
+    length = np.concatenate([_unpack(x) for x in columns["lengths"]])
+    holders = np.concatenate([_unpack(x) for x in columns["holders"]])
+    row = np.concatenate([_unpack(x) + b for x, b in zip(columns["holder"], rows, strict=False)])
+    start = np.concatenate([_unpack(x) for x in columns["start"]])
+    key, tag = np.concatenate([_unsteps(x) for x in columns["key"]]), np.concatenate([_unpack(x) for x in columns["tag"]])
+    doc = np.where(tag & 1, _NULL, key)
+    # equal stretches of several parts are one
+    same = _binary(ids.astype("<i4").view(np.uint8), 4 * np.cumsum(length)).dictionary_encode().indices.to_numpy()
+    n = int(same.max()) + 1
+    stretch = np.repeat(same, holders)
+    least = np.full(n, _NULL, np.int64)
+    np.minimum.at(least, stretch, doc[row])
+    one = np.zeros(n, np.int64)
+    one[same[::-1]] = np.arange(len(same))[::-1]
+    first, windows = (np.cumsum(length) - length)[one], length[one] - window + 1
+    at = np.repeat(first, windows) + ranges(windows)
+    below = Subtree(ids, at, window).least_below(np.repeat(least, windows), window)
+    # each holder of a stretch against its windows
+    n_windows, upto = windows[stretch], (np.cumsum(windows) - windows)[stretch]
+    holder = np.repeat(np.arange(len(stretch)), n_windows)
+    place = ranges(n_windows)
+    again = np.flatnonzero(below[np.repeat(upto, n_windows) + place] < doc[row[holder]])
+    holder, place = holder[again], place[again]
+    new = np.ones(len(again), bool)
+    new[1:] = (holder[1:] != holder[:-1]) | (place[1:] != place[:-1] + 1)
+    run = np.flatnonzero(new)
+    run_row, run_start, run_n = row[holder[run]], start[holder[run]] + place[run], np.diff(np.append(run, len(again)))
+    block = _block(key, tag, n_blocks)[run_row]
+    order = np.lexsort((run_start, key[run_row], block))
+    cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+    out = []
+    for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=False):  # none, where nothing repeats
+        own = order[s:e]
+        which, index = np.unique(run_row[own], return_inverse=True)
+        out.append((int(block[own[0]]), _steps(key[which]), _pack(tag[which]), _pack(index), _pack(run_start[own]), _pack(run_n[own])))
+    columns = list(zip(*out, strict=True)) or [[]] * 6
+    return pa.table([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)], names=[f.split()[0] for f in _FOUND.split(", ")])
+
+
+def _block(key: np.ndarray, tag: np.ndarray, n: int) -> np.ndarray:
+    return (mix(key.view(np.uint64) + tag.astype(np.uint64)) % np.uint64(n)).astype(np.int32)
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string, spans array<struct<start:int,length:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 
 
-def _removed(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
-    depth = np.zeros(n_words + 1, np.int32)
-    depth[starts] += 1
-    np.subtract.at(depth, starts + window, 1)
-    return np.cumsum(depth)[:-1] > 0
+def _cut(table: pa.Table, found: pa.Table, window: int, keep_text: bool) -> pa.Table:
+    """The result's rows of a block of texts."""
+    doc_ids = table.column("doc_id").combine_chunks()
+    data, offsets = buffers(table.column("text"))
+    w = Words(data, offsets)
+    key, tag = _row_keys(doc_ids, data, offsets)
+    keys = np.unique(key)
+    mark = lambda k, t: np.searchsorted(keys, k) << 32 | t
+    marks, same = np.unique(mark(key, tag), return_inverse=True)
+    n_words = w.counts()
+    size = np.zeros(len(marks), np.int64)
+    size[same] = n_words
+    base = np.cumsum(size + 1) - size - 1
+    edge = np.zeros(int((size + 1).sum()) + 1, np.int32)
+    for packed in found.select(["key", "tag", "holder", "start", "n"]).to_pylist():
+        own = np.searchsorted(marks, mark(_unsteps(packed["key"]), _unpack(packed["tag"])))
+        start = base[own][_unpack(packed["holder"])] + _unpack(packed["start"])
+        np.add.at(edge, start, 1)
+        np.subtract.at(edge, start + _unpack(packed["n"]) + window - 1, 1)
+    gone = np.cumsum(edge) > 0
+    n_removed, kept, sha, spans = [], [], [], []
+    for i in range(len(doc_ids)):
+        words, own = data[offsets[i] : offsets[i + 1]].tobytes().split(), []
+        mine = gone[base[same[i]] : base[same[i]] + n_words[i]]
+        if mine.any():
+            edges = np.flatnonzero(np.diff(mine, prepend=False, append=False)).tolist()
+            own = [{"start": s, "length": e - s} for s, e in zip(edges[::2], edges[1::2], strict=True)]
+            for x in reversed(own):
+                del words[x["start"] : x["start"] + x["length"]]
+        left = b" ".join(words)
+        n_removed.append(sum(x["length"] for x in own))
+        kept.append(left.decode() if keep_text else None)
+        sha.append(hashlib.sha256(left).hexdigest())
+        spans.append(own)
+    columns = [doc_ids, pa.array(n_words), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string()), pa.array(spans, _SPANS)]
+    return pa.table(dict(zip(_NAMES, columns, strict=True)))
 
 
-def dedup_substrings(docs: DataFrame, *, window: int = 13, block_bytes: int = 6 << 20, group_suffixes: int = 1_500_000, keep_text: bool = True, share: float = 1 / 4096) -> DataFrame:
+_NAMES = ["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "spans"]
+_ARROW = list(zip(_NAMES, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), _SPANS], strict=True))
+
+
+def _block_column(doc_id: Column, text: Column, n_blocks: int) -> Column:
+    @F.arrow_udf("int")
+    def block(ids: pa.Array, column: pa.Array) -> pa.Array:
+        return pa.array(_block(*_row_keys(ids, *buffers(column)), n_blocks), pa.int32())
+
+    return block(doc_id, text)
+
+
+def dedup_substrings(docs: DataFrame, *, window: int = 13, block_bytes: int = 6 << 20, group_words: int = 3_000_000, slots: int = 1 << 16, keep_text: bool = True) -> DataFrame:
     """Remove the words covered by a `window`-word passage which also starts in a document of smaller doc_id.
 
     Windows are judged on the input, not on what is left. Returns doc_id, n_words, n_removed, kept
@@ -165,65 +331,32 @@ def dedup_substrings(docs: DataFrame, *, window: int = 13, block_bytes: int = 6
     remove nothing from each other; so do rows that repeat one doc_id. Further columns are ignored.
     An empty table gives an empty result. A text is worked on whole, in one task.
 
-    Memory: a block's texts and about 40 bytes a word; a group's paths. For corpora of many TB
-    raise block_bytes with the square root of the size, as each block sends a row to each group.
+    Memory: `block_bytes` of texts, or about `group_words` words of a group. A prefix is heavy, and
+    lengthened, if its slot counts more suffixes than an eighth of a group holds, or four times the mean of
+    all slots; `slots` counters for each length of prefix pass through the driver, so raise them with corpora of many TB.
     """
     spark = docs.sparkSession
     docs = texts(docs)
-    heavy, n_suffixes, size = prefix_counts(docs, window, share)
+    counts, n_words, size = prefix_counts(docs, window, slots)
     n_blocks = max(1, math.ceil(size / block_bytes))
-    per_block = n_suffixes / n_blocks
-    n_groups = max(1, min(max(2 * partitions(spark), math.ceil(n_suffixes / group_suffixes)), max(12, int(per_block / 64))))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n_blocks for i in range(1, n_blocks)], 10 * n_blocks)).first()[0] if n_blocks > 1 else None
-    cuts = np.array(cuts or [], np.int64)
-
-    @F.pandas_udf("int")
-    def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.fillna(_NULL_ID).astype("int64"), "left"))
-
-    blocks = docs.withColumn("block", block_of(F.col("doc_id"))).repartition(max(partitions(spark), n_blocks), "block")
-
-    def send(table: pa.Table) -> pa.Table:
-        b = _Block(table, heavy, window, n_groups)
-        runs = b.runs()
-        packed = [_pack(b.path[s:e]) for _, s, e in runs]
-        block = pa.array(np.full(len(runs), table.column("block")[0].as_py(), np.int32))
-        return pa.table({"block": block, "group": pa.array([g for g, _, _ in runs], pa.int32()), "paths": pa.array(packed, pa.binary())})
-
-    def receive(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not len(table):
-            return pa.schema(_ARROW).empty_table()
-        b = _Block(table, heavy, window, n_groups)
-        earlier = np.zeros(len(b.path), bool)
-        by_group = dict(zip(replies.column("group").to_pylist(), replies.column("bits").to_pylist(), strict=True))
-        for g, s, e in b.runs():
-            earlier[s:e] = np.unpackbits(np.frombuffer(by_group[g], np.uint8), count=e - s)
-        doc, word = b.spans(earlier)
-        at = np.lexsort((word, doc))
-        doc, word = doc[at], word[at]
-        bounds = np.searchsorted(doc, np.arange(len(b.ids) + 1))
-        n_removed, kept, sha, spans = [], [], [], []
-        data, offsets = buffers(b.table.column("text"))
-        for i in range(len(b.ids)):
-            words, own = data[offsets[i] : offsets[i + 1]].tobytes().split(), []
-            if bounds[i] < bounds[i + 1]:
-                gone = _removed(len(words), word[bounds[i] : bounds[i + 1]], window)
-                edges = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
-                own = [{"start": s, "length": e - s} for s, e in zip(edges[::2], edges[1::2], strict=True)]
-                for x in reversed(own):
-                    del words[x["start"] : x["start"] + x["length"]]
-            left = b" ".join(words)
-            n_removed.append(sum(x["length"] for x in own))
-            kept.append(left.decode() if keep_text else None)
-            sha.append(hashlib.sha256(left).hexdigest())
-            spans.append(own)
-        columns = [b.table.column("doc_id").combine_chunks(), pa.array(b.n_words), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string()), pa.array(spans, _SPANS)]
-        return pa.table(dict(zip(_NAMES, columns, strict=True)))
-
-    sent = blocks.groupBy("block").applyInArrow(send, "block int, `group` int, paths binary")
-    replies = sent.groupBy("group").applyInArrow(_earlier, "block int, `group` int, bits binary")
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(receive, RESULT)
+    sent_words = 2 * (window + GRAM)  # of a stretch, and what goes beside it
+    n_groups = max(2 * partitions(spark), math.ceil(4 * n_words / group_words))
+    heavy = [own > max(group_words // sent_words // 8, 4 * int(own.sum()) // slots) for own in counts]
 
-
-_NAMES = ["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "spans"]
-_ARROW = list(zip(_NAMES, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), _SPANS], strict=True))
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = buffers(b.column("text"))
+            for lo, hi in chunks(offsets, PART_BYTES):
+                d, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                keys, tags = _row_keys(b.column("doc_id")[lo:hi], d, off)
+                columns = list(zip(*_send(keys, tags, Words(d, off), window, heavy, slots, n_groups), strict=True))
+                if columns:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)], _SENT_NAMES)
+
+    def cut(table: pa.Table, found: pa.Table) -> pa.Table:
+        return _cut(table, found, window, keep_text) if len(table) else pa.schema(_ARROW).empty_table()
+
+    sent = docs.mapInArrow(send, _SENT).repartition(max(partitions(spark), n_groups // 8), "group")
+    found = sent.groupBy("group").applyInArrow(lambda table: _repeats(table, window, n_blocks), _FOUND)
+    blocks = docs.withColumn("block", _block_column(F.col("doc_id"), F.col("text"), n_blocks)).repartition(max(partitions(spark), n_blocks), "block")
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, RESULT)

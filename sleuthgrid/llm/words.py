@@ -52,7 +52,10 @@ class Words:
         self.ends = np.flatnonzero(solid & ~after) + 1
         self.offsets = np.searchsorted(self.starts, offsets)
         self._doubled: dict[tuple[int, int], np.ndarray] = {}
-        self.hash = self._power(0, 0)
+
+    @property
+    def hash(self) -> np.ndarray:
+        return self._power(0, 0)
 
     def _hashes(self, lane: int) -> np.ndarray:
         """Of each word a hash of its bytes, eight at a time with a mixing step after each."""
