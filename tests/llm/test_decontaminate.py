@@ -1,6 +1,13 @@
 import random
+import time
+import tracemalloc
 
-from sleuthgrid.llm.decontaminate import decontaminate, find_leaks, tile
+import numpy as np
+import pyarrow as pa
+
+from sleuthgrid.llm import decontaminate as decontaminate_module
+from sleuthgrid.llm.decontaminate import Items, decontaminate, find_leaks, stretches, tile
+from sleuthgrid.llm.words import Words
 
 from .brute import DOCS, corpus, sentence, words
 
@@ -25,15 +32,42 @@ def brute_tiles(a, b, width):
 
 
 def test_tiles_as_brute_force():
-    import numpy as np
-
     rng = random.Random(2)
-    for _ in range(60):
-        a, b = ([rng.randint(0, 2) for _ in range(rng.randint(3, 25))] for _ in range(2))
-        seeds = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
-        i, j = (np.array([s[x] for s in seeds], np.int64) for x in (0, 1))
-        got = tile(i, j, 3, len(a), len(b)) if seeds else []
-        assert sum(t[2] for t in got) == sum(t[2] for t in brute_tiles(a, b, 3))
+    for _ in range(80):
+        a, b = (np.array([rng.randint(0, 2) for _ in range(rng.randint(3, 25))], np.uint64) for _ in range(2))
+        seeds = {tuple(a[i : i + 3].tolist()) for i in range(len(a) - 2)}
+        at = np.array([j for j in range(len(b) - 2) if tuple(b[j : j + 3].tolist()) in seeds], np.int64)
+        got = tile(a, stretches(b, at, 3), 3) if len(at) else []
+        assert got == brute_tiles(a.tolist(), b.tolist(), 3)
+
+
+def test_repetitive_texts_take_little():
+    """Texts of one word, or two, have as many pairs of seeds as the square of their length."""
+    items = Items([(1, Words(x := np.frombuffer(t.encode(), np.uint8), np.array([0, len(x)]), True)) for t in ["a " * 2000]] + [(2, Words(y := np.frombuffer(b"a b " * 900, np.uint8), np.array([0, len(y)]), True))], 5)
+    began = time.process_time()
+    tracemalloc.start()
+    found = list(items.leaks(pa.array(["a " * 500_000, "a b " * 200_000, ". " * 500_000, "b a"]), 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [[x["item_id"] for x in own] for own in found] == [[1], [2], [], []]
+    assert time.process_time() - began < 20 and peak < 500 << 20
+
+
+def test_short_items_leak_as_whole_lines(spark):
+    docs = spark.createDataFrame([(1, "before\nTwo  words \nafter"), (2, "two words more"), (3, "two words"), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(8, "two words"), (9, None)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["matched_words"]) for r in find_leaks(docs, bench).collect()) == [(1, 8, 2), (3, 8, 2)]
+    assert sorted(r["doc_id"] for r in decontaminate(docs, bench).collect()) == [2, 4]
+
+
+def test_blocks_of_the_benchmark_find_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [sentence(rng, 12) for _ in range(5)]
+    docs = spark.createDataFrame([(i, f"own {t} words") for i, t in enumerate(items[:3])] + [(9, "nothing of these")], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    monkeypatch.setattr(decontaminate_module, "BLOCK_WORDS", 20)
+    assert sorted((r["doc_id"], r["item_id"]) for r in find_leaks(docs, bench).collect()) == [(0, 0), (1, 1), (2, 2)]
+    assert [r["doc_id"] for r in decontaminate(docs, bench).collect()] == [9]
 
 
 def test_leaks_as_brute_force(spark):
