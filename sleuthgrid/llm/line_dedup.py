@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, partitions
 from .words import Words, buffers, chunks
 
+#: Documents paired with one holder that go to a task.
+HOLDER = 2048
 _LINE, _WORDS = pa.list_(pa.int64()), pa.list_(pa.int32())
 
 
-def _hash_lines(column: pa.Array) -> Iterator[tuple[list[int], list[int]]]:
-    """Of each text the hashes of its lines and their numbers of words; a line's words decide, not its white space."""
+def _hash_lines(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text two hashes of each of its lines and their numbers of words; a line's words decide, not its white space."""
     data, offsets = buffers(column)
     for lo, hi in chunks(offsets):
         d, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
@@ -39,26 +41,29 @@ def _hash_lines(column: pa.Array) -> Iterator[tuple[list[int], list[int]]]:
         bounds = np.unique(np.concatenate([off, breaks]))
         w = Words(d, bounds)
         counts = w.counts()
-        hashes = w.whole(w.offsets[:-1], w.offsets[1:]).view(np.int64)
+        one, two = (w.whole(w.offsets[:-1], w.offsets[1:], lane).view(np.int64) for lane in (0, 1))
         of = np.searchsorted(bounds, off)
+        empty = np.zeros(1, np.int64)
         for i, (s, e) in enumerate(zip(of[:-1].tolist(), of[1:].tolist(), strict=True)):
             # an empty text has no segment; one that starts with a break has its first line empty
             if off[i] == off[i + 1]:
-                yield [], []
-                continue
-            first = [] if d[off[i]] != 10 else [s]
-            own, words = hashes[s:e].tolist(), counts[s:e].tolist()
-            yield ([0, *own], [0, *words]) if first else (own, words)
+                s = e
+            parts = one[s:e], two[s:e], counts[s:e]
+            yield tuple(np.concatenate([empty, p]) for p in parts) if s < e and d[off[i]] == 10 else parts
+
 
+def lines(text: Column, min_words: int) -> Column:
+    """struct(hashes, words, runs) of the \\n-split lines of a text; null and empty texts have none.
 
-def lines(text: Column) -> Column:
-    """struct(hashes, words) of the \\n-split lines of a text; null and empty texts have none."""
+    hashes tell the lines of two documents apart, runs are the distinct runs by the other, independent hash:
+    what is deleted has both in common.
+    """
 
     def run(column: pa.Array) -> pa.Array:
-        found = list(_hash_lines(column))
-        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], _LINE), pa.array([f[1] for f in found], _WORDS)], ["hashes", "words"])
+        found = [(one, words, _seeds(two.tolist(), words.tolist(), min_words)) for one, two, words in _hash_lines(column)]
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], _LINE), pa.array([f[1] for f in found], _WORDS), pa.array([f[2] for f in found], _LINE)], ["hashes", "words", "runs"])
 
-    return F.arrow_udf(run, "struct<hashes:array<long>,words:array<int>>")(text)
+    return F.arrow_udf(run, "struct<hashes:array<long>,words:array<int>,runs:array<long>>")(text)
 
 
 def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -80,24 +85,29 @@ def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return found[::-1]
 
 
-def _longest_run(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-    where: dict[int, list[int]] = {}
-    for i, x in enumerate(a):
-        where.setdefault(x, []).append(i)
-    best: tuple[int, int, int] = (0, 0, 0)
-    ending: dict[int, int] = {}
-    for j, x in enumerate(b):
-        ending = {i: ending.get(i - 1, 0) + 1 for i in where.get(x, ())}
-        for i, n in ending.items():
-            if n > best[2]:
-                best = (i - n + 1, j - n + 1, n)
-    return [best] if best[2] else []
+def _wide_anchors(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+    """Anchors (start in a, start in b, length): lines that both have once; else windows of 2, 4, ... lines that both have once."""
+    width = 1
+    while width <= min(len(a), len(b)):
+        found = _anchors(a, b)
+        if found:
+            out: list[tuple[int, int, int]] = []
+            for i, j in found:  # windows that overlap count from the end of the one before
+                over = max(0, out[-1][0] + out[-1][2] - i, out[-1][1] + out[-1][2] - j) if out else 0
+                if over < width:
+                    out.append((i + over, j + over, width - over))
+            return out
+        names: dict[tuple[int, int], int] = {}
+        a, b = ([names.setdefault(x, len(names)) for x in zip(s, s[width:], strict=False)] for s in (a, b))
+        width *= 2
+    return []
 
 
 def align(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Common blocks (start in a, start in b, length) of two line sequences, in order.
 
-    Patience diff; a stretch without a line that is unique in both is split by its longest common run.
+    Patience diff; in a stretch without a line that is unique in both, windows of lines that are unique in
+    both are the anchors, and a stretch without these stays unaligned.
     """
     blocks, todo = [], [(0, len(a), 0, len(b))]
     while todo:
@@ -110,7 +120,7 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
             blocks.append((a1, b1, 1))
         if a0 == a1 or b0 == b1:
             continue
-        own = [(i, j, 1) for i, j in _anchors(a[a0:a1], b[b0:b1])] or _longest_run(a[a0:a1], b[b0:b1])
+        own = _wide_anchors(a[a0:a1], b[b0:b1])
         at_a, at_b = a0, b0
         for i, j, n in own:
             blocks.append((a0 + i, b0 + j, n))
@@ -156,57 +166,94 @@ def _seeds(hashes: list[int], words: list[int], min_words: int) -> list[int]:
     return list(found)
 
 
-def line_deletions(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
-    """(doc_id, print, gone): of each document that loses lines their places, print telling apart rows of one doc_id."""
+def _gone(before: list[int], known: set[tuple[int, ...]], own: list[int], words: list[int], min_words: int) -> list[int]:
+    """The lines of a document that it loses to an earlier one, whose runs are `known`."""
+    at: set[int] = set()
+    for _, j, n in align(before, own):
+        if sum(words[j : j + n]) >= min_words:
+            at.update(range(j, j + n))
+    for s, e in runs(words, min_words):
+        if not at.issuperset(range(s, e)) and tuple(own[s:e]) in known:
+            at.update(range(s, e))
+    return sorted(at)
+
+
+def line_deletions(docs: DataFrame, *, min_words: int = 5, rare: int | None = None) -> DataFrame:
+    """(doc_id, print, gone): of each document that loses lines their places, print telling apart rows of one doc_id.
+
+    rare: leave out runs that more documents have as seeds; lines that no alignment by other seeds reaches then stay.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    rows = rows.select("doc_id", F.xxhash64("text").alias("print"), lines(F.col("text")).alias("l")).select("doc_id", "print", "l.*").where(F.size("hashes") > 0)
+    rows = rows.select("doc_id", F.xxhash64("text").alias("print"), lines(F.col("text"), min_words).alias("l")).select("doc_id", "print", "l.*").where(F.size("runs") > 0)
     rows = materialize(rows, "line-hashes")
+    spark = docs.sparkSession
 
-    def seed(hashes: pa.Array, words: pa.Array) -> pa.Array:
-        return pa.array([_seeds(h, w, min_words) for h, w in zip(hashes.to_pylist(), words.to_pylist(), strict=True)], _LINE)
+    seeds = rows.select("doc_id", F.explode("runs").alias("run"))
+    first = seeds.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
+    if rare is not None:
+        first = first.where(F.col("n") <= rare)
+    pairs = materialize(seeds.join(first.select("run", "first"), "run").where("doc_id > first").select("doc_id", "first").distinct(), "line-pairs")
 
-    seeds = rows.select("doc_id", F.explode(F.arrow_udf(seed, "array<long>")("hashes", "words")).alias("run"))
-    first = seeds.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
-    pairs = seeds.join(first, "run").where("doc_id > first").select("doc_id", "first").distinct()
-    holders = rows.select(F.col("doc_id").alias("first"), F.col("hashes").alias("before"))
-    both = pairs.join(rows, "doc_id").join(holders, "first").select("doc_id", "print", "hashes", "words", "before")
+    # a holder's lines are sent once to each of its tasks, not once for each pair
+    tasks = pairs.groupBy("first").agg(F.expr(f"cast(ceil(count(*) / {HOLDER}) as int)").alias("tasks"))
+    holders = rows.join(tasks, rows["doc_id"] == tasks["first"]).select("first", F.explode(F.expr("sequence(0, tasks - 1)")).alias("task"), F.lit(True).alias("holds"), "doc_id", "print", "hashes", "words")
+    many = tasks.where("tasks > 1")
+    dealt = pairs.join(many, "first", "left").select("first", F.coalesce(F.pmod(F.xxhash64("doc_id"), "tasks"), F.lit(0)).cast("int").alias("task"), "doc_id")
+    later = dealt.join(rows, "doc_id").select("first", "task", F.lit(False).alias("holds"), "doc_id", "print", "hashes", "words")
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, before = None, []
         for b in batches:
-            gone = []
-            for own, words, before in zip(*(b.column(c).to_pylist() for c in ("hashes", "words", "before")), strict=True):
-                at: set[int] = set()
-                for _, j, n in align(before, own):
-                    if sum(words[j : j + n]) >= min_words:
-                        at.update(range(j, j + n))
-                left = [(s, e) for s, e in runs(words, min_words) if not at.issuperset(range(s, e))]
-                if left:
-                    size = dict(zip(own, words, strict=True))  # lines that own hasn't are in no run of both
-                    held = {tuple(before[s:e]) for s, e in runs([size.get(x, min_words) for x in before], min_words)}
-                    for s, e in left:
-                        if tuple(own[s:e]) in held:
-                            at.update(range(s, e))
-                gone.append(sorted(at))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("print"), pa.array(gone, _WORDS)], ["doc_id", "print", "gone"])
-
-    found = both.mapInArrow(delete, "doc_id long, print long, gone array<int>").where(F.size("gone") > 0)
+            out: list[tuple[int, int, list[int]]] = []
+            columns = (b.column(c).to_pylist() for c in ("first", "task", "holds", "doc_id", "print", "hashes", "words"))
+            for first, task, holds, doc_id, print_, own, words in zip(*columns, strict=True):
+                if (first, task) != key:
+                    key, before = (first, task), []
+                if holds:
+                    before.append((own, {tuple(own[s:e]) for s, e in runs(words, min_words)}))
+                    continue
+                gone: set[int] = set()
+                for theirs, known in before:  # rows that repeat the holder's doc_id, mostly one
+                    gone.update(_gone(theirs, known, own, words, min_words))
+                if gone:
+                    out.append((doc_id, print_, sorted(gone)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), _WORDS))], ["doc_id", "print", "gone"])
+
+    both = holders.unionByName(later).repartition(partitions(spark), "first", "task").sortWithinPartitions("first", "task", F.desc("holds"))
+    found = both.mapInArrow(delete, "doc_id long, print long, gone array<int>")
     return found.select("doc_id", "print", F.explode("gone").alias("at")).groupBy("doc_id", "print").agg(F.collect_set("at").alias("gone"))
 
 
+def _without(text: Column, gone: Column) -> Column:
+    @F.arrow_udf("string")
+    def cut(column: pa.Array, places: pa.Array) -> pa.Array:
+        out = []
+        for t, at in zip(column.to_pylist(), places.to_pylist(), strict=True):
+            if t is None or not at:
+                out.append(t)
+                continue
+            lost = set(at)
+            out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in lost))
+        return pa.array(out, pa.string())
+
+    return cut(text, gone)
+
+
 def dedup_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
     """docs with the deleted lines gone from text, n_chars (if there) set to its length, and n_removed lines (long).
 
     Each block is kept in the least doc_id that has it. Lines are compared by their words, so white
     space at their ends doesn't matter. A block counts from min_words words; shorter ones and blank
     lines outside blocks stay. Null doc_id or text: the row stays as it is. Rows that repeat a doc_id
-    lose nothing to each other. Empty table: no rows. Further columns stay, but for n_removed.
+    lose nothing to each other. Empty table: no rows. Further columns stay, but for n_removed. A text's
+    lines are worked on whole, in one task, in time that grows with their number, however they repeat.
     """
     gone = line_deletions(docs, min_words=min_words)
     text = F.col("row.text").cast("string")
     rows = docs.select(F.struct("*").alias("row")).withColumns({"doc_id": F.col("row.doc_id").cast("long"), "print": F.xxhash64(text)})
     joined = rows.join(gone, ["doc_id", "print"], "left")
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("gone", i)), "\n")
-    new = {"text": F.when(F.col("gone").isNull(), text).otherwise(left)}
+    joined = joined.withColumn("left", _without(text, F.col("gone")))
+    new = {"text": F.col("left")}
     columns = [new["text"].alias(c) if c == "text" else F.length(new["text"]).cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns if c != "n_removed"]
     return joined.select(*columns, F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
