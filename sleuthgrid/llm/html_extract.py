@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -26,37 +26,91 @@ RAW = set("script style textarea title noscript template iframe svg math".split(
 HIDDEN = RAW - {"title"}
 #: Start tags that end an open element of these names.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^>]*>?)", re.S)
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>?)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("features", "linked", "size", "text", "where")
-
-    def __init__(self, where: list[tuple[str, tuple[str, ...]]], text: str, linked: int, size: int):
-        self.where, self.text, self.linked, self.size = where, text, linked, size
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page, in order, with decoded text and white space in them made one space."""
+    """A leaf block's text and features; `known` keeps to features that the model has a weight for."""
+
+    __slots__ = ("features", "text")
+
+    def __init__(self, around: Iterable[str], leaf: str, text: str, linked: int, size: int):
+        self.text = text
+        words = text.count(" ") + 1
+        own = [f"leaf {leaf}", f"words {min(words.bit_length(), 7)}", f"linked {4 * linked // max(1, size)}", f"ends {'stop' if text[-1] in '.!?' else 'other'}"]
+        if any(c in text for c in "\u00a9|\u00bb\u00b7\u2022"):
+            own.append("sign")
+        self.features = sorted({*around, *own})
+
+
+class _Open:
+    """The open elements: for each the features that its ancestors and it bring in, counted, so that no block copies the stack."""
+
+    def __init__(self, known: Container[str] | None):
+        self.known, self.names, self.brought = known, [], []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.shown: list[int] = []
+        self.features: dict[str, int] = {}
+
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        at = len(self.names)
+        shown = name in BLOCK or bool(words)
+        brought = [f for f in {f"in {name}", *(f"named {w}" for w in words)} if self.known is None or f in self.known] if shown else []
+        for f in brought:
+            self.features[f] = self.features.get(f, 0) + 1
+        self.names.append(name)
+        self.brought.append(brought)
+        self.places.setdefault(name, []).append(at)
+        if name in BLOCK:
+            self.blocks.append(at)
+        if shown:
+            self.shown.append(at)
+
+    def cut(self, depth: int) -> None:
+        while len(self.names) > depth:
+            at, name = len(self.names) - 1, self.names.pop()
+            self.places[name].pop()
+            for pile in (self.blocks, self.shown):
+                if pile and pile[-1] == at:
+                    pile.pop()
+            for f in self.brought.pop():
+                self.features[f] -= 1
+                if not self.features[f]:
+                    del self.features[f]
+
+    def last(self, name: str) -> int | None:
+        pile = self.places.get(name)
+        return pile[-1] if pile else None
+
+    def leaf(self) -> str:
+        return self.names[self.shown[-1]] if self.shown else "none"
+
+
+def blocks_of(page: str, known: Container[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page, in order, with decoded text and white space in them (of Unicode, so also no-break spaces) made one space.
+
+    Time grows with the page's length, however deep its elements are nested.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open(known)
     parts: list[tuple[str, bool]] = []
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
-                out.append(Block([s for s in stack if s[0] in BLOCK or s[1]], text, sum(len(p) for p, a in parts if a), sum(len(p) for p, _ in parts)))
+                out.append(Block(open_.features, open_.leaf(), text, sum(len(p) for p, a in parts if a), sum(len(p) for p, _ in parts)))
             parts.clear()
 
-    at, links = 0, 0
+    at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         end = m.start() if m else len(page)
         if end > at:
-            parts.append((page[at:end], links > 0))
+            parts.append((page[at:end], bool(open_.places.get("a"))))
         if not m:
             break
         at = m.end()
@@ -64,60 +118,37 @@ def blocks_of(page: str) -> list[Block]:
         if not name:
             continue
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if name in BLOCK:
                 flush()
-            if depth is not None and (name in BLOCK or not any(s[0] in BLOCK for s in stack[depth + 1 :])):
-                del stack[depth:]
-                links = sum(s[0] == "a" for s in stack)
+            depth = open_.last(name)
+            if depth is not None and (name in BLOCK or not open_.blocks or open_.blocks[-1] <= depth):
+                open_.cut(depth)
             continue
         if name in BLOCK:
             flush()
-            if stack:
-                shut = CLOSES.get(name, set())
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or stack[i][0] in shut:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-                links = sum(s[0] == "a" for s in stack)
+            if open_.blocks:
+                inner = open_.blocks[-1]
+                if open_.names[inner] == "p" or open_.names[inner] in CLOSES.get(name, ()):
+                    open_.cut(inner)
         if name == "br":
-            parts.append((" ", links > 0))
+            parts.append((" ", bool(open_.places.get("a"))))
         if name in VOID or m[3].endswith("/>") and name in HIDDEN:
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             if name == "title":
                 parts.append((page[at : close.start() if close else len(page)], False))
-                stack.append((name, ()))
+                open_.push(name, ())
                 flush()
-                stack.pop()
+                open_.cut(len(open_.names) - 1)
             at = close.end() if close else len(page)
             continue
         names = " ".join(x for g in _NAMES.findall(m[3]) for x in g if x).lower() if "=" in m[3] else ""
-        stack.append((name, tuple(_WORD.findall(names))))
-        links += name == "a"
+        open_.push(name, tuple(_WORD.findall(names)))
     flush()
     return out
 
 
-def features_of(blocks: list[Block]) -> list[list[str]]:
-    """Of each block its features."""
-    out = []
-    for b in blocks:
-        words = b.text.split()
-        own = {f"in {n}" for n, _ in b.where} | {f"named {w}" for _, names in b.where for w in names}
-        own.add(f"leaf {b.where[-1][0]}" if b.where else "leaf none")
-        own.add(f"words {min(len(words).bit_length(), 7)}")
-        own.add(f"linked {4 * b.linked // max(1, b.size)}")
-        own.add(f"ends {'stop' if b.text[-1] in '.!?' else 'other'}")
-        if any(c in b.text for c in "©|»·•"):
-            own.add("sign")
-        out.append(sorted(own))
-    return out
-
-
 # Names that pages give their parts, for the labelled pages.
 _MAIN = [("article", ""), ("main", ""), ("div", "content"), ("div", "main-content"), ("div", "article-body"), ("div", "entry-content"), ("div", "post-content"), ("section", "story"), ("div", "text"), ("div", "post"), ("article", "post"), ("div", "body"), ("td", "content"), ("article", "entry")]
 _REST = {
@@ -226,7 +257,7 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[int]]]:
 @cache
 def train(n: int = 400, rounds: int = 150, rate: float = 0.3, decay: float = 1e-3) -> tuple[dict[str, float], tuple[float, float, float, float]]:
     """Weights: of each feature for main text, and of the label pairs 00, 01, 10, 11."""
-    pages = [(features_of(blocks_of(page)), labels) for page, labels in labelled_pages(n)]
+    pages = [([b.features for b in blocks_of(page)], labels) for page, labels in labelled_pages(n)]
     assert all(len(f) == len(y) for f, y in pages)
     names = sorted({x for f, _ in pages for b in f for x in b})
     place = {x: i for i, x in enumerate(names)}
@@ -282,10 +313,10 @@ def decode(features: list[list[str]], weights: dict[str, float], pair: tuple[flo
 
 
 def main_text(page: str | None, weights: dict[str, float], pair: tuple[float, float, float, float]) -> str:
-    blocks = blocks_of(page or "")
+    blocks = blocks_of(page or "", weights)
     if not blocks:
         return ""
-    labels = decode(features_of(blocks), weights, pair)
+    labels = decode([b.features for b in blocks], weights, pair)
     return "\n\n".join(b.text for b, y in zip(blocks, labels, strict=True) if y)
 
 

@@ -1,13 +1,18 @@
+import random
 import re
+import time
+import tracemalloc
 
-from sleuthgrid.llm.html_extract import blocks_of, decode, extract_main_text, features_of, labelled_pages, train
+from sleuthgrid.llm.html_extract import blocks_of, decode, extract_main_text, labelled_pages, main_text, train
+
+from .brute import sentence
 
 
 def test_held_out_pages():
     weights, pair = train()
     right = total = 0
     for page, labels in labelled_pages(150, seed=77):
-        got = decode(features_of(blocks_of(page)), weights, pair)
+        got = decode([b.features for b in blocks_of(page)], weights, pair)
         right, total = right + sum(a == b for a, b in zip(got, labels, strict=True)), total + len(labels)
     assert right / total > 0.97
 
@@ -47,3 +52,42 @@ def test_given_pages(spark):
         article = re.search(r"<article>(.*)</article>", html[r["page_id"]], re.S)[1]
         wrong += [b.text for b in blocks_of(article)] != r["text"].split("\n\n")
     assert wrong <= 0.02 * len(html)
+
+
+def test_deep_and_broken_pages_take_little():
+    weights, pair = train()
+    pages = ["<div>x" * 100_000, '<div class="c">' * 100_000 + "t", "<b>" * 50_000 + "<p>x" * 50_000 + "</i></b>" * 50_000, "".join(f'<p class="n{i}">x' for i in range(50_000)), '<a href="' * 50_000, "<a b='\">" * 50_000, "<p><hr>" * 50_000]
+    tracemalloc.start()
+    for page in pages:
+        began = time.process_time()
+        main_text(page, weights, pair)
+        assert time.process_time() - began < 20
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+
+
+def shape(body: str, article: str, kind: str) -> str:
+    """Layouts that labelled_pages doesn't make: tables, deep wrappers, other orders."""
+    menu = "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(6))
+    if kind == "table":
+        return f'<html><body><table><tr><td class="menu"><ul>{menu}</ul></td><td class="content">{body}</td><td class="sidebar"><p>Sidebar text here</p></td></tr></table><div class="footer">Copyright 2020 somebody</div></body></html>'
+    if kind == "deep":
+        return f'<html><body>{"<div>" * 9}<div id="header"><h2>Site name</h2><ul class="menu">{menu}</ul></div><{article}>{body}</{article.split()[0]}>{"</div>" * 9}<div class="comments"><div class="comment"><p>I think so as well, thank you for it.</p></div></div></body></html>'
+    return f'<html><body><div class="cookie-notice"><p>We use cookies.</p></div><form class="search"><input><button>Go</button></form><{article}>{body}</{article.split()[0]}><aside class="related"><h3>More</h3><ul>{menu}</ul></aside><footer><p>All rights reserved.</p></footer></body></html>'
+
+
+def test_layouts_that_training_does_not_make():
+    """Held out by layout: pages with and without <article>."""
+    weights, pair = train()
+    rng = random.Random(3)
+    right = {True: [0, 0], False: [0, 0]}
+    for n in range(240):
+        paragraphs = [sentence(rng, rng.randint(8, 70)).capitalize() + "." for _ in range(rng.randint(2, 8))]
+        want = ["The heading of it", *paragraphs]
+        body = "<h1>The heading of it</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+        article = ("article", 'div class="content"', "main", 'div id="post"')[n % 4]
+        page = shape(body, article, ("table", "deep", "wide")[n % 3])
+        own = right["<article" in page]
+        own[0] += main_text(page, weights, pair).split("\n\n") == want
+        own[1] += 1
+    assert all(a >= 0.9 * b for a, b in right.values()), right
