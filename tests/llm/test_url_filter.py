@@ -1,6 +1,9 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from sleuthgrid.llm import url_filter
 from sleuthgrid.llm.queries import URL_RULES
 from sleuthgrid.llm.url_filter import cascade, judge_urls, listed
 
@@ -45,3 +48,19 @@ def test_no_rules_and_empty(spark):
     df = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert judge_urls(df, {}).collect()[0]["verdict"] == "allow"
     assert judge_urls(df.limit(0), URL_RULES).collect() == []
+
+
+def test_rules_as_a_table_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    rules = spark.createDataFrame([(k, v) for v, keys in URL_RULES.items() for k in keys] + [("no path", "block"), (None, "block")], "rule string, verdict string")
+    want = sorted(((i, *brute(u)) for i, u in enumerate(URLS)), key=str)
+    assert sorted(map(tuple, judge_urls(df, rules, part_keys=2).collect()), key=str) == want
+    monkeypatch.setattr(url_filter, "MAX_BITS", 24)  # too small for a level of several keys: more parts
+    assert sorted(map(tuple, judge_urls(df, rules, bits_per_key=12, block=8, part_keys=99).collect()), key=str) == want
+
+
+def test_long_hosts_take_little(spark):
+    df = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "example.com/en/" + "x" * 100_000)] * 8, "page_id long, url string")
+    began = time.time()
+    assert {r["rule"] for r in judge_urls(df, URL_RULES).select("rule").collect()} == {"example.com/en/"}
+    assert time.time() - began < 30
