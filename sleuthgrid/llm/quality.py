@@ -2,9 +2,11 @@
 
 A sketch is the counts of a metric's values in buckets of a relative width of at most 1/32, for one
 language and source: sketches merge by adding counts, and hold at most some hundred buckets each.
-A threshold is the upper quartile plus `reach` times the interquartile range, or times the metric's
-least spread where that is wider. Groups of fewer than MIN_GROUP rows take the merged sketch of
-their language, or of all rows. The thresholds are joined to the rows by language and source.
+A threshold is the upper quartile plus REACH times the interquartile range, or times the metric's
+least spread where that is wider. It is worked out from a group's own sketch, and from this merged with its
+language's at a weight of WEIGHT rows; the higher one counts, so that a group's clean rows are never
+judged by others, however few they are, and a small group's chance values weigh little. No size switches
+anything. The thresholds are joined to the rows by language and source.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ METRICS = {
     "word_length": ("word_chars * 1000 div greatest(n_words, 1)", 1500),
     "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 170),
 }
-MIN_GROUP, REACH = 100, 3
+WEIGHT, REACH = 100, 3
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SPACE = np.zeros(256, bool)
@@ -84,38 +86,44 @@ def thresholds(rows: DataFrame) -> DataFrame:
     sketch = long.select("lang", "source", "m.metric", F.expr(_bucket("m.x")).alias("bucket")).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
     sketch = materialize(sketch, "quality-sketch")
 
-    def quartiles(keys: list[str], name: str) -> DataFrame:
-        """Of the sketches merged by `keys` a struct (all, q1, q3), named `name`."""
-        counts = sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+    keys = ["lang", "source", "metric"]
+    spread = F.element_at(F.create_map(*(F.lit(x) for m, (_, least) in METRICS.items() for x in (m, least))), F.col("metric"))
+
+    def limits(counts: DataFrame) -> DataFrame:
+        """Of each group the threshold, from rows of keys, bucket and n."""
         by = Window.partitionBy(*keys)
         at = counts.select("*", F.sum("n").over(by).alias("all"), F.sum("n").over(by.orderBy("bucket")).alias("upto"))
         quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("all"), F.col("bucket")))
-        return at.groupBy(*keys).agg(F.struct(F.max("all").alias("all"), quartile(1).alias("q1"), quartile(3).alias("q3")).alias(name))
+        found = at.groupBy(*keys).agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
+        return found.select(*keys, (F.col("q3") + REACH * F.greatest(F.col("q3") - F.col("q1"), spread)).cast("long").alias("threshold"))
 
-    own, lang, every = quartiles(["lang", "source", "metric"], "own"), quartiles(["lang", "metric"], "by_lang"), quartiles(["metric"], "every")
-    same_lang = lang["lang"].eqNullSafe(own["lang"]) & (lang["metric"] == own["metric"])
-    best = own.join(lang, same_lang).select(own["lang"], own["source"], own["metric"], "own", "by_lang").join(every, "metric")
-    enough = lambda c: F.when(F.col(f"{c}.all") >= MIN_GROUP, F.col(c))
-    best = best.withColumn("q", F.coalesce(enough("own"), enough("by_lang"), F.col("every")))
-    spread = F.element_at(F.create_map(*(F.lit(x) for m, (_, least) in METRICS.items() for x in (m, least))), F.col("metric"))
-    return best.select("lang", "source", "metric", (F.col("q.q3") + REACH * F.greatest(F.col("q.q3") - F.col("q.q1"), spread)).cast("long").alias("threshold"))
+    lang = sketch.groupBy(F.col("lang").alias("of_lang"), F.col("metric").alias("of_metric"), F.col("bucket").alias("of_bucket")).agg(F.sum("n").alias("of_n"))
+    total = lang.groupBy("of_lang", "of_metric").agg(F.sum("of_n").alias("total"))
+    same = F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("metric") == F.col("of_metric"))
+    # whole numbers: own counts times the language's rows, the language's counts times WEIGHT
+    own = sketch.join(total, same).select(*keys, "bucket", (F.col("n").cast("decimal(19,0)") * F.col("total").cast("decimal(19,0)")).cast("decimal(30,0)").alias("n"))
+    others = sketch.select(*keys).distinct().join(lang, same).select(*keys, F.col("of_bucket").alias("bucket"), (WEIGHT * F.col("of_n")).cast("decimal(30,0)").alias("n"))
+    merged = own.unionByName(others).groupBy(*keys, "bucket").agg(F.sum("n").cast("decimal(30,0)").alias("n"))
+    return limits(sketch).unionByName(limits(merged)).groupBy(*keys).agg(F.max("threshold").alias("threshold"))
 
 
-def judge_quality(docs: DataFrame) -> DataFrame:
-    """docs with the struct column `quality`: the features, base_failed and kept.
+def judge_quality(docs: DataFrame, *, carry: list[str] | None = None) -> DataFrame:
+    """The columns `carry` of docs (all of them, by default) with the struct column `quality`: the features, base_failed and kept.
 
     base_failed: fewer than 10 words, or over 20 % of them in repeated 5-word windows. kept: not
     base_failed and no metric over its language's and source's threshold.
 
-    Null or empty text: no words, so base_failed. Null lang or source is a group of its own. A table
-    without one of these columns counts as if it were null there. Further columns stay as they are; repeated
-    rows are each judged and counted; an empty table gives no rows.
+    Texts are read once: what is carried is written to the shared folder beside its features, which the
+    sketches and the verdicts then read. Null or empty text: no words, so base_failed. Null lang or source is a
+    group of its own. A table without one of these columns counts as if it were null there. Further columns stay
+    as they are; repeated rows are each judged and counted; an empty table gives no rows.
     """
+    carry = [c for c in (docs.columns if carry is None else carry) if c != "quality"]
     own = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
-    features = docs.select(*own, _features(F.col("text").cast("string")).alias("f")).select("lang", "source", "f.*")
-    limits = thresholds(features).groupBy("lang", "source")
+    carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(None).alias("none"))
+    rows = materialize(docs.select(carried.alias("row"), *own, _features(F.col("text").cast("string")).alias("quality")), "quality-features")
+    limits = thresholds(rows.select("lang", "source", "quality.*")).groupBy("lang", "source")
     limits = limits.agg(F.map_from_entries(F.collect_list(F.struct("metric", "threshold"))).alias("limits"))  # three entries
-    rows = docs.select(F.struct("*").alias("row"), *own, _features(F.col("text").cast("string")).alias("quality"))
     judged = rows.join(limits, rows["lang"].eqNullSafe(limits["lang"]) & rows["source"].eqNullSafe(limits["source"]), "left")
     failed = F.expr("quality.n_words < 10 or 100 * quality.n_repeat_words > 20 * quality.n_words")
     within = F.lit(True)
@@ -124,7 +132,7 @@ def judge_quality(docs: DataFrame) -> DataFrame:
             value = value.replace(c, f"quality.{c}")
         within &= F.expr(value).cast("long") <= F.element_at("limits", F.lit(metric))
     verdict = F.struct("quality.*", failed.alias("base_failed"), (~failed & within).alias("kept"))
-    return judged.select(*(F.col(f"row.`{c}`") for c in docs.columns if c != "quality"), verdict.alias("quality"))
+    return judged.select(*(F.col(f"row.`{c}`") for c in carry), verdict.alias("quality"))
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:

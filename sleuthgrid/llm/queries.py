@@ -60,7 +60,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge_quality(table(spark, sf_dir, "documents"))
+    out = judge_quality(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept")
 
 
@@ -136,14 +136,23 @@ WITH w AS (
   UNION ALL SELECT doc_id, lang, source, 'dup_lines', 170, n_dup_lines * 1000 // greatest(n_lines, 1) FROM f
 ), b AS (
   SELECT *, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS bucket FROM m
-), o AS (SELECT lang, source, metric, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL
-), l AS (SELECT lang, metric, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL
-), e AS (SELECT metric, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL
+), s AS (SELECT lang, source, metric, spread, bucket, CAST(count(*) AS HUGEINT) AS n FROM b GROUP BY ALL
+), l AS (SELECT lang, metric, bucket, CAST(sum(n) AS HUGEINT) AS n FROM s GROUP BY ALL
+), t AS (SELECT lang, metric, CAST(sum(n) AS HUGEINT) AS total FROM l GROUP BY ALL
+), g AS (SELECT DISTINCT lang, source, metric, spread FROM s
+), weighted AS (
+  SELECT 'own' AS kind, lang, source, metric, spread, bucket, n FROM s
+  UNION ALL SELECT 'merged', s.lang, source, s.metric, spread, bucket, n * total FROM s JOIN t ON t.lang IS NOT DISTINCT FROM s.lang AND t.metric = s.metric
+  UNION ALL SELECT 'merged', g.lang, source, g.metric, spread, bucket, 100 * n FROM g JOIN l ON l.lang IS NOT DISTINCT FROM g.lang AND l.metric = g.metric
+), c AS (SELECT kind, lang, source, metric, spread, bucket, CAST(sum(n) AS HUGEINT) AS n FROM weighted GROUP BY ALL
+), u AS (
+  SELECT *, sum(n) OVER (PARTITION BY kind, lang, source, metric) AS total, sum(n) OVER (PARTITION BY kind, lang, source, metric ORDER BY bucket) AS upto FROM c
+), k AS (
+  SELECT kind, lang, source, metric, spread, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3 FROM u GROUP BY ALL
+), h AS (SELECT lang, source, metric, max(q3 + 3 * greatest(q3 - q1, spread)) AS threshold FROM k GROUP BY ALL
 ), q AS (
-  SELECT b.doc_id, b.x, b.spread, CASE WHEN o.n >= 100 THEN o.q1 WHEN l.n >= 100 THEN l.q1 ELSE e.q1 END AS q1, CASE WHEN o.n >= 100 THEN o.q3 WHEN l.n >= 100 THEN l.q3 ELSE e.q3 END AS q3
-  FROM b JOIN o ON o.lang IS NOT DISTINCT FROM b.lang AND o.source IS NOT DISTINCT FROM b.source AND o.metric = b.metric
-  JOIN l ON l.lang IS NOT DISTINCT FROM b.lang AND l.metric = b.metric JOIN e ON e.metric = b.metric
-), within AS (SELECT doc_id, bool_and(x <= q3 + 3 * greatest(q3 - q1, spread)) AS ok FROM q GROUP BY doc_id)
+  SELECT b.doc_id, b.x, h.threshold FROM b JOIN h ON h.lang IS NOT DISTINCT FROM b.lang AND h.source IS NOT DISTINCT FROM b.source AND h.metric = b.metric
+), within AS (SELECT doc_id, bool_and(x <= threshold) AS ok FROM q GROUP BY doc_id)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND ok AS kept
 FROM f JOIN within ON within.doc_id = f.doc_id
