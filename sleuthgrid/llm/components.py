@@ -28,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the longest path.
     """
     e = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = materialize(e, "components")  # each round reads its edges several times
     state = None
     while True:
         e = materialize(_small_star(_large_star(e)), "components")

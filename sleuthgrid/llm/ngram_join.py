@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, partitions, texts
+from .shared import materialize, merged_counts, partitions, texts
 from .words import mix, words_of
 
 GROUPS = 256
@@ -145,6 +145,21 @@ def _all_pairs(points: Points, size: np.ndarray, comp: np.ndarray, per_cent: int
         yield i[ok], j[ok], bound[ok]
 
 
+def _small_tiles(starts: np.ndarray, lengths: np.ndarray, points: Points, size: np.ndarray, comp: np.ndarray, per_cent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of tiles of up to LEAF_TILE rows; those of one length together."""
+    for m in range(2, LEAF_TILE + 1):
+        first = starts[lengths == m]
+        a, b = np.triu_indices(m, 1)
+        step = max(1, PAIRS // len(a))
+        for s in range(0, len(first), step):
+            i = (first[s : s + step, None] + a).ravel()
+            j = (first[s : s + step, None] + b).ravel()
+            ok = (comp[i] != comp[j]) & (100 * size[i] >= per_cent * size[j])
+            i, j = i[ok], j[ok]
+            ok = may_link(overlap_bound(points, i, points, j), size[i], size[j], per_cent)
+            yield i[ok], j[ok]
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Numbers that two sorted arrays of distinct ones share."""
     at = np.searchsorted(b, a)
@@ -203,30 +218,9 @@ def _summaries(docs: DataFrame, k: int, lower: bool) -> DataFrame:
 
 
 def _classes(summaries: DataFrame) -> np.ndarray:
-    """The binary logarithm of each slot's count: 1 MB, whatever the corpus."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a task's rows, in the order of their slots, are added up one at a time
-        slot, total = None, np.zeros(_PART, np.int64)
-        for b in batches:
-            for own, counts in zip(b.column("slot").to_pylist(), b.column("counts"), strict=True):
-                if own != slot:
-                    if slot is not None:
-                        yield one(slot, total)
-                    slot, total = own, np.zeros(_PART, np.int64)
-                total += np.frombuffer(counts.as_py(), "<i8")
-        if slot is not None:
-            yield one(slot, total)
-
-    def one(slot: int, total: np.ndarray) -> pa.RecordBatch:
-        log = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([log.tobytes()], pa.binary())], ["slot", "log"])
-
-    counts = summaries.where("slot is not null").select("slot", "counts").repartition(_SLOTS // _PART, "slot").sortWithinPartitions("slot")
-    out = np.zeros(_SLOTS, np.uint8)
-    for r in counts.mapInArrow(add, "slot int, log binary").collect():
-        out[r["slot"] * _PART : (r["slot"] + 1) * _PART] = np.frombuffer(r["log"], np.uint8)
-    return out
+    """The binary logarithm of each slot's count: of fixed size, whatever the corpus."""
+    parts = merged_counts(summaries.where("slot is not null").select(F.col("slot").alias("part"), "counts"), [_PART] * (_SLOTS // _PART))
+    return np.ceil(np.log2(np.maximum(np.concatenate(parts), 1))).astype(np.uint8)
 
 
 def _signatures(docs: DataFrame, classes: np.ndarray, k: int, lower: bool, per_cent: int) -> DataFrame:
@@ -371,15 +365,18 @@ def _tile_pairs(labelled: DataFrame, points: DataFrame, per_cent: int) -> DataFr
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, doc, comp, size, points in _whole_tiles(batches):
             starts = np.flatnonzero(np.diff(key, prepend=-1))
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                own = slice(s, e)
-                if (comp[own] == comp[s]).all():
-                    continue
-                few = e - s <= LEAF_TILE
-                found = _all_pairs(points.take(own), size[own], comp[own], per_cent) if few else CountRTree(points.take(own), size[own], comp[own]).pairs(per_cent)
-                for i, j, _ in found:
-                    a, b = doc[own][i], doc[own][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            lengths = np.diff(np.append(starts, len(key)))
+            for i, j in _small_tiles(starts, lengths, points, size, comp, per_cent):
+                yield out(doc[i], doc[j])
+            large = lengths > LEAF_TILE
+            for s, n in zip(starts[large].tolist(), lengths[large].tolist(), strict=True):
+                own = slice(s, s + n)
+                if not (comp[own] == comp[s]).all():
+                    for i, j, _ in CountRTree(points.take(own), size[own], comp[own]).pairs(per_cent):
+                        yield out(doc[own][i], doc[own][j])
+
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     dealt = _cells(tiled, mixed).repartition(partitions(spark), "token", "u", "v").sortWithinPartitions("token", "u", "v", "n", "doc_id")
     return dealt.mapInArrow(search, "a long, b long").where("a <> b").distinct()
@@ -427,7 +424,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, per_cent: int = 80, lower
 
     Rows that repeat a doc_id are one document, linked by any of its texts. A null doc_id links with
     nothing and its component_id is null. Further columns are ignored; an empty table gives no rows.
-    A text is worked on whole, in one task. Fixed sizes on the driver: 1 MB of shingle counts, 1 MB of Bloom filter.
+    A text is worked on whole, in one task. Fixed sizes on the driver: 8 MB of shingle counts, 8 MB of Bloom filter.
     """
     docs = texts(docs)
     spark = docs.sparkSession
