@@ -41,3 +41,25 @@ def ranked(matches: DataFrame, key: str, limit: int) -> DataFrame:
     strength = F.array_position(F.array(*map(F.lit, STRENGTHS)), F.col("strength"))
     by = Window.partitionBy("query_id").orderBy(strength, key)
     return matches.withColumn("place", F.row_number().over(by)).where(F.col("place") <= limit)
+
+
+def under(rows: DataFrame, column: str, root: str) -> DataFrame:
+    """Rows whose dotted name is root or stands below it."""
+    return rows.where((F.col(column) == root) | F.col(column).startswith(f"{root}."))
+
+
+def pivots(entities: DataFrame, apexes: DataFrame, types: list[str]) -> DataFrame:
+    """entities with `pivots`: a seed, or of an allowed type and, for a domain, an apex or below one, for a url, one that holds an apex (any, without apexes).
+
+    entities: id, type, value, is_seed; apexes: apex, a seed's domain each, in lower case. Domains are joined by their parents, so no pairs are tried.
+    """
+    from ..functions.web import parents
+
+    value = F.lower("value")
+    parts = F.when(F.col("type") == "domain", parents(value)).when(F.col("type") == "url", F.flatten(F.transform(F.expr("split(lower(value), '[^a-z0-9.-]+')"), parents)))
+    roots = apexes.select(F.col("apex").alias("_part")).distinct()
+    hits = entities.where(F.col("type").isin("domain", "url")).select("id", F.explode(parts).alias("_part")).join(roots, "_part").select("id", F.lit(True).alias("_hit")).distinct()
+    out = entities.join(hits, "id", "left")
+    allowed = F.col("type").isin(types) & (F.coalesce("value", F.lit("")) != "")
+    shaped = F.when(F.col("type").isin("domain", "url"), F.coalesce("_hit", F.lit(False))).otherwise(True)
+    return out.withColumn("pivots", F.col("is_seed") | (allowed & shaped)).drop("_hit").select(*entities.columns, "pivots")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import any_date, filing_date
 from ..functions.names import canonical
-from ..functions.network import ip_number
+from ..functions.network import address_key, ip_number
 from ..functions.web import host_of
 
 
@@ -61,12 +61,12 @@ def score_header(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ip_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """IPv4 ranges with places from lines of 8 fields, or 7 without the continent; other rows are left out."""
+    """Ranges of addresses with places from lines of 8 fields, or 7 without the continent: version, start and end (IPv4 as a number, null for IPv6), start_key and end_key (keys in the order of a version's addresses, for both). Rows whose ends are of two versions are left out."""
     raw = spark.read.csv(path, schema=", ".join(f"c{i} string" for i in range(8)))
     short = F.expr("try_cast(c6 as double) is not null and c7 is null")
     at = lambda long_, short_: F.when(short, F.col(f"c{short_}")).otherwise(F.col(f"c{long_}"))
-    out = raw.select(ip_number(F.col("c0")).alias("start"), ip_number(F.col("c1")).alias("end"), at(3, 2).alias("country"), at(4, 3).alias("region"), at(5, 4).alias("city"), at(6, 5).try_cast("double").alias("lat"), at(7, 6).try_cast("double").alias("lon"))
-    return out.where("start is not null and end is not null and start <= end")
+    out = raw.select(F.when(F.contains("c0", F.lit(":")), 6).otherwise(4).alias("version"), ip_number(F.col("c0")).alias("start"), ip_number(F.col("c1")).alias("end"), address_key(F.col("c0")).alias("start_key"), address_key(F.col("c1")).alias("end_key"), at(3, 2).alias("country"), at(4, 3).alias("region"), at(5, 4).alias("city"), at(6, 5).try_cast("double").alias("lat"), at(7, 6).try_cast("double").alias("lon"))
+    return out.where("start_key is not null and end_key is not null and (start is null) = (end is null) and start_key <= end_key")
 
 
 def malware_urls(spark: SparkSession, path: str) -> DataFrame:

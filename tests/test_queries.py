@@ -4,11 +4,12 @@ import os
 import duckdb
 import pytest
 
-from sleuthgrid.plans import entities, lookups, records, traffic
+from sleuthgrid.plans import casebook, entities, lookups, records, status, traffic
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = traffic.catalog.queries | entities.catalog.queries | lookups.catalog.queries | records.catalog.queries
-SQL = traffic.catalog.sql | entities.catalog.sql | lookups.catalog.sql | records.catalog.sql
+PLANS = (traffic, entities, lookups, records, casebook, status)
+QUERIES = {n: q for p in PLANS for n, q in p.catalog.queries.items()}
+SQL = {n: q for p in PLANS for n, q in p.catalog.sql.items()}
 
 
 @pytest.fixture(scope="module")
