@@ -1,5 +1,7 @@
 import random
+import time
 
+from sleuthgrid.llm import line_dedup
 from sleuthgrid.llm.line_dedup import align, dedup_lines, drop_repeated_lines
 
 from .brute import DOCS, corpus, words
@@ -50,11 +52,8 @@ def test_lines_in_another_order_than_their_first_holder_has(spark):
     assert {r["doc_id"]: r["text"] for r in dedup_lines(df).collect()} == {1: "\n".join(rows[0][1]), 2: "", 3: "", 4: "own four words here now"}
 
 
-def test_blocks_of_short_lines_as_brute_force(spark):
-    rng = random.Random(11)
-    alphabet = ["", "", *(" ".join(f"w{i}" for _ in range(n)) for i, n in enumerate([1, 1, 2, 2, 3, 3, 4, 4, 5, 7]))]
-    verse = [f"verse {i} of four" for i in range(30)]
-    docs = [[rng.choice(alphabet) for _ in range(rng.randint(1, 9))] for _ in range(80)] + [["one", *verse], ["other", *verse, "end"]]
+def brute(docs):
+    """The lines with words that each document keeps: all but those in a run of 5 words or more that stands in an earlier one, too."""
     want = {}
     for d, own in enumerate(docs):
         gone = set()
@@ -62,10 +61,48 @@ def test_blocks_of_short_lines_as_brute_force(spark):
             for i in range(len(before)):
                 for j in range(len(own)):
                     n = 0
-                    while i + n < len(before) and j + n < len(own) and before[i + n] == own[j + n]:
+                    while i + n < len(before) and j + n < len(own) and words(before[i + n]) == words(own[j + n]):
                         n += 1
                     if sum(len(words(x)) for x in own[j : j + n]) >= 5:
                         gone.update(range(j, j + n))
-        want[d] = [x for j, x in enumerate(own) if x and j not in gone]
+        want[d] = [x for j, x in enumerate(own) if words(x) and j not in gone]
+    return want
+
+
+def test_corpus_as_brute_force(spark, monkeypatch):
+    rows = corpus()
+    want = brute([(t or "").split("\n") for _, t, *_ in rows])
+    for holder in (line_dedup.HOLDER, 2):
+        monkeypatch.setattr(line_dedup, "HOLDER", holder)
+        out = dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
+        assert {r["doc_id"]: [x for x in (r["text"] or "").split("\n") if words(x)] for r in out} == want
+
+
+def test_long_repetitive_texts_take_little():
+    rng = random.Random(6)
+    sequences = [([1, 2, 3] * 5000, [2, 1, 3, 3] * 5000), ([1] * 20_000, [1] * 15_000 + [2]), ([rng.randint(0, 3) for _ in range(10_000)], [rng.randint(0, 3) for _ in range(10_000)]), (list(range(10_000)), list(range(10_000))[::-1])]
+    began = time.process_time()
+    for a, b in sequences:
+        at_a = at_b = 0
+        for i, j, n in align(a, b):
+            assert i >= at_a and j >= at_b and a[i : i + n] == b[j : j + n]
+            at_a, at_b = i + n, j + n
+    assert time.process_time() - began < 20
+
+
+def test_many_deleted_lines(spark):
+    lines = [f"line number {i} of this text" for i in range(20_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines[::-1], "own words of the second text"]))], "doc_id long, text string")
+    began = time.time()
+    assert {r["doc_id"]: r["n_removed"] for r in dedup_lines(df).collect()} == {1: 0, 2: 20_000}
+    assert time.time() - began < 60
+
+
+def test_blocks_of_short_lines_as_brute_force(spark):
+    rng = random.Random(11)
+    alphabet = ["", "", *(" ".join(f"w{i}" for _ in range(n)) for i, n in enumerate([1, 1, 2, 2, 3, 3, 4, 4, 5, 7]))]
+    verse = [f"verse {i} of four" for i in range(30)]
+    docs = [[rng.choice(alphabet) for _ in range(rng.randint(1, 9))] for _ in range(80)] + [["one", *verse], ["other", *verse, "end"]]
+    want = brute(docs)
     df = spark.createDataFrame([(d, "\n".join(x)) for d, x in enumerate(docs)], "doc_id long, text string")
     assert want[81] == ["other", "end"] and {r["doc_id"]: [x for x in r["text"].split("\n") if x] for r in dedup_lines(df).collect()} == want
