@@ -30,7 +30,10 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """Pairs within km of each other, with the distance; left has lat, lon, right has lat2, lon2.
+    """Pairs within km of each other and in one another's bounding box, with the distance; left has lat, lon, right has lat2, lon2.
+
+    The box doesn't wrap at 180 degrees, and above some 78 degrees of latitude it is narrower than the circle:
+    pairs across the date line, and some near the poles, are left out.
 
     A grid makes it an equi-join: a point of left looks up the cells that its bounding box meets. The
     box reaches km/111 degrees of latitude and km / max(.2, 111 |cos lat|) of longitude; near the

@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import STRENGTHS, canonical, match_strength, name_keys
 from ..functions.text import tokens
 
 
-def token_index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token), each once."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("token"))
+#: Tokens of queries by which an index is cut before it is made.
+FEW_TOKENS = 1000
+
+
+def token_index(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(key, token), each once. only: queries (query_id, query) whose tokens alone are wanted; up to FEW_TOKENS of them are picked out before any row is made."""
+    own = tokens(F.col(text))
+    if only is not None:
+        wanted = [r["token"] for r in only.select(F.explode(tokens(F.col("query"))).alias("token")).distinct().limit(FEW_TOKENS + 1).collect()]
+        if len(wanted) <= FEW_TOKENS:
+            own = F.array_intersect(own, F.array(*map(F.lit, wanted)).cast("array<string>"))
+    return docs.select(key, F.explode(own).alias("token"))
+
+
+def save_index(index: DataFrame, path: str, buckets: int = 256) -> None:
+    """Write a token index in folders by a hash of the token, so that a search reads its own tokens' folders alone."""
+    index.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).repartition("bucket", "token").sortWithinPartitions("token").write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def saved_index(spark: SparkSession, path: str, queries: DataFrame, buckets: int = 256) -> DataFrame:
+    """The rows of a saved index that queries (query_id, query) may need; buckets as saved."""
+    asked = queries.select(F.explode(tokens(F.col("query"))).alias("token")).select(F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("b")).distinct().collect()  # at most `buckets` rows
+    index = spark.read.parquet(path)
+    return index.where(F.col("bucket").isin([r["b"] for r in asked])).drop("bucket")
 
 
 def search_tokens(index: DataFrame, queries: DataFrame, key: str, *, every: bool = True) -> DataFrame:

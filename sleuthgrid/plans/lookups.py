@@ -80,12 +80,12 @@ def _queries(spark: SparkSession) -> DataFrame:
 
 @catalog.query(_TOKENS + "SELECT query_id, doc_id, count(*) AS hits FROM t JOIN q USING (token) GROUP BY 1, 2 HAVING count(*) = CASE query_id WHEN 1 THEN 2 ELSE 3 END")
 def token_index_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_tokens(search.token_index(read(spark, sf_dir, "documents"), "doc_id", "text"), _queries(spark), "doc_id")
+    return search.search_tokens(search.token_index(read(spark, sf_dir, "documents"), "doc_id", "text", only=_queries(spark)), _queries(spark), "doc_id")
 
 
 @catalog.query(_TOKENS + "SELECT query_id, doc_id, count(*) AS hits FROM t JOIN q USING (token) GROUP BY 1, 2")
 def token_index_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_tokens(search.token_index(read(spark, sf_dir, "documents"), "doc_id", "text"), _queries(spark), "doc_id", every=False)
+    return search.search_tokens(search.token_index(read(spark, sf_dir, "documents"), "doc_id", "text", only=_queries(spark)), _queries(spark), "doc_id", every=False)
 
 
 def _found(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
@@ -106,13 +106,13 @@ def ip_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, tx.IPV4)
 
 
-@catalog.query(_FOUND.format(tx.URL.replace("'", "''")))
+@catalog.query(_FOUND.format(tx.URL.replace("'", "''")).replace("doc_id", "page_id").replace("text", "html").replace("documents", "pages"))
 def url_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir, tx.URL)
+    return read(spark, sf_dir, "pages").select("page_id", tx.found(F.col("html"), tx.URL).alias("found")).where(F.size("found") > 0)
 
 
 @catalog.query(r"""
-WITH h AS (SELECT doc_id, upper(lpad(to_hex(doc_id * 2654435761), 12, '0')) AS x FROM documents WHERE doc_id * 2654435761 < 281474976710656)
+WITH h AS (SELECT doc_id, upper(lpad(to_hex(CAST(CAST(doc_id AS HUGEINT) * 2654435761 % 281474976710656 AS BIGINT)), 12, '0')) AS x FROM documents WHERE doc_id IS NOT NULL)
 SELECT doc_id, x[1:2] || ':' || x[3:4] || ':' || x[5:6] || ':' || x[7:8] || ':' || x[9:10] || ':' || x[11:12] AS mac, (('0x' || x[1:2])::INT >> 1) % 2 = 1 AS is_local FROM h
 """)
 def mac_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,12 +124,11 @@ def mac_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.query(r"""
-WITH n AS (SELECT regexp_replace(regexp_replace(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), 'https?://[^\s<>"'']+', '<url>', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}', '<email>', 'g'), '[0-9]+(?:\.[0-9]+)*', '<n>', 'g') AS template, doc_id FROM documents)
+WITH n AS (SELECT regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://[^\s<>"'']+', '<url>', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}', '<email>', 'g'), '[0-9]+(?:\.[0-9]+)*', '<n>', 'g') AS template, doc_id FROM documents)
 SELECT template, count(*) AS n, min(doc_id) AS first_doc FROM n GROUP BY 1
 """)
 def note_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
-    return read(spark, sf_dir, "documents").select("doc_id", tx.template(line).alias("template")).groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return read(spark, sf_dir, "documents").select("doc_id", tx.template(F.coalesce("text", F.lit(""))).alias("template")).groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @catalog.query("""
@@ -145,11 +144,11 @@ def lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.where("label is not null").select(F.concat_ws(".", "label", "tld").alias("domain"), F.explode(tx.lookalikes(F.col("label"), F.col("tld"))).alias("name"))
 
 
-_EDGES = "e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49)"
+_EDGES = "e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 49")
+    items = read(spark, sf_dir, "lineitem")
     return items.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.col("l_linestatus").alias("rel"))
 
 
@@ -172,7 +171,7 @@ def group_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.query("""
-WITH e AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, l_linestatus AS rel FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49)
+WITH e AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, l_linestatus AS rel FROM lineitem)
 SELECT node, count(*) AS degree, count(*) FILTER (rel = 'O') AS strong FROM (SELECT source AS node, rel FROM e UNION ALL SELECT target, rel FROM e) GROUP BY 1
 """)
 def degree_strong(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,15 +38,15 @@ def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", identity.canonical_value(F.lit("domain"), F.col("url")).alias("domain"), identity.canonical_value(F.lit("url"), F.col("url")).alias("url_key"))
 
 
-@catalog.query(r"""
-WITH m AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')) AS address FROM documents),
+@catalog.query(rf"""
+WITH m AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}')) AS address FROM documents),
 p AS (SELECT address, lower(split_part(address, '@', 1)) AS l, replace(lower(split_part(address, '@', 2)), 'googlemail.com', 'gmail.com') AS d FROM m)
-SELECT address, CASE WHEN d = 'gmail.com' THEN replace(split_part(l, '+', 1), '.', '') ELSE split_part(l, '+', 1) END || '@' || d AS mailbox, split_part(l, '+', 1) IN ('info', 'admin', 'support', 'sales', 'contact', 'abuse') AS is_role FROM p WHERE split_part(l, '+', 1) <> ''
+SELECT address, CASE WHEN d = 'gmail.com' THEN replace(split_part(l, '+', 1), '.', '') ELSE split_part(l, '+', 1) END || '@' || d AS mailbox, split_part(l, '+', 1) IN ({', '.join(repr(r) for r in sorted(identity.ROLES))}) AS is_role FROM p WHERE split_part(l, '+', 1) <> ''
 """)
 def mailbox_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read(spark, sf_dir, "documents").select(F.explode(tx.found(F.col("text"), tx.EMAIL)).alias("address")).distinct()
     local = F.substring_index(F.lower(F.substring_index("address", "@", 1)), "+", 1)
-    return found.where(local != "").select("address", identity.mailbox(F.col("address")).alias("mailbox"), (identity.is_role(F.col("address")) & local.isin("info", "admin", "support", "sales", "contact", "abuse")).alias("is_role"))
+    return found.where(local != "").select("address", identity.mailbox(F.col("address")).alias("mailbox"), identity.is_role(F.col("address")).alias("is_role"))
 
 
 @catalog.query("""

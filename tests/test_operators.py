@@ -43,7 +43,10 @@ def test_nearest_seed_and_growth(spark):
 
 def test_alerts_and_cooldown(spark, tmp_path):
     times = [0, 1, 2, 3, 30, 31, 32, 200, 201, 202]
-    found, recent, last = alert_times([t * HOUR_US for t in times], [], None, 3, 24 * HOUR_US, 168 * HOUR_US)
+    found, recent, minutes, counts, last = alert_times([t * HOUR_US for t in times], [], [], [], None, 3, 24 * HOUR_US, 168 * HOUR_US)
+    assert len(minutes) == len(counts) == 3
+    many = alert_times([i * 1_000_000 for i in range(500)], [], [], [], None, 3, 24 * HOUR_US, 1)[0]
+    assert [n for _, n in many] == list(range(3, 501))  # all hits of the window count, however many
     assert [t // HOUR_US for t, _ in found] == [2, 202] and len(recent) <= 3 and last == 202 * HOUR_US
     rows = [(k, (1000 + t) * HOUR_US) for k in (1, 2) for t in times]
     at = f"{tmp_path}/in"
