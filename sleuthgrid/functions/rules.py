@@ -104,7 +104,7 @@ def has_tokens(field: Column, name: str, least: int = 3) -> Column:
     """Whether every token of the name, of `least` letters or more, stands in the field, in any order; letters, digits, blanks, ' and - alone count."""
     import re
 
-    clean = re.sub(r"-{2,}", "-", re.sub(r"[^A-Za-z0-9 '\-]", " ", name))
+    clean = re.sub(r"-{2,}", "-", re.sub(r"[^A-Za-z0-9 '\-.&]", " ", name))
     tokens = [t for t in clean.split() if len(t) >= least]
     return reduce(lambda a, b: a & b, [F.contains(F.upper(field), F.lit(t.upper())) for t in tokens], F.lit(bool(tokens)))
 

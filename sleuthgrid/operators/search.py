@@ -84,3 +84,21 @@ def pivots(entities: DataFrame, apexes: DataFrame, types: list[str]) -> DataFram
     allowed = F.col("type").isin(types) & (F.coalesce("value", F.lit("")) != "")
     shaped = F.when(F.col("type").isin("domain", "url"), F.coalesce("_hit", F.lit(False))).otherwise(True)
     return out.withColumn("pivots", F.col("is_seed") | (allowed & shaped)).drop("_hit").select(*entities.columns, "pivots")
+
+
+def other_spelling(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Of each asked slug the stored one that differs in letter case alone, the least of several; null without one, and where it is spelled the same."""
+    stored = held.groupBy(F.lower("slug").alias("_key")).agg(F.min("slug").alias("_slug"))
+    hits = asked.select("asked").distinct().withColumn("_key", F.lower("asked")).join(stored, "_key", "left")
+    return hits.select("asked", F.when(F.col("_slug") != F.col("asked"), F.col("_slug")).alias("canonical"))
+
+
+def containing(asked: DataFrame, held: DataFrame, part: str, whole: str, gram: int = 3) -> DataFrame:
+    """Pairs of which the held text contains the asked one, of `gram` letters or more.
+
+    Texts are joined by the asked text's first gram among the held text's, and then compared, so no pairs without a gram
+    in common are tried.
+    """
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - gram + 1, F.lit(1))), lambda i: F.substring(F.col(whole), i, F.lit(gram))))
+    left = asked.where(F.length(part) >= gram).withColumn("_gram", F.substring(F.col(part), 1, gram))
+    return left.join(held.withColumn("_gram", F.explode(grams)), "_gram").where(F.contains(F.col(whole), F.col(part))).drop("_gram")
