@@ -24,7 +24,7 @@ def brute(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "block_bytes", "group", "slots"), [(13, 6 << 20, 3_000_000, 1 << 16), (13, 2000, 600, 256), (4, 3000, 100, 64), (2, 800, 20, 16), (1, 900, 90, 16)])
+@pytest.mark.parametrize(("window", "block_bytes", "group", "slots"), [(13, 6 << 20, 8_000_000, 1 << 16), (13, 2000, 600, 256), (4, 3000, 100, 64), (2, 800, 20, 16), (1, 900, 90, 16)])
 def test_as_brute_force(spark, window, block_bytes, group, slots):
     rows = corpus()
     out = dedup_substrings(spark.createDataFrame(rows, DOCS), window=window, block_bytes=block_bytes, group_words=group, slots=slots)
