@@ -192,7 +192,8 @@ def line_deletions(docs: DataFrame, *, min_words: int = 5, rare: int | None = No
     first = seeds.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
     if rare is not None:
         first = first.where(F.col("n") <= rare)
-    pairs = materialize(seeds.join(first.select("run", "first"), "run").where("doc_id > first").select("doc_id", "first").distinct(), "line-pairs")
+    first = materialize(first.select("run", "first"), "line-first")  # written, so that a run which many documents have is split by adaptive execution in the join
+    pairs = materialize(seeds.join(first, "run").where("doc_id > first").select("doc_id", "first").distinct(), "line-pairs")
 
     # a holder's lines are sent once to each of its tasks, not once for each pair
     tasks = pairs.groupBy("first").agg(F.expr(f"cast(ceil(count(*) / {HOLDER}) as int)").alias("tasks"))
