@@ -4,10 +4,10 @@ import os
 import duckdb
 import pytest
 
-from sleuthgrid.plans import casebook, entities, fields, lookups, records, status, traffic
+from sleuthgrid.plans import casebook, entities, fields, lookups, records, status, traffic, views
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
-PLANS = (traffic, entities, lookups, records, casebook, status, fields)
+PLANS = (traffic, entities, lookups, records, casebook, status, fields, views)
 QUERIES = {n: q for p in PLANS for n, q in p.catalog.queries.items()}
 SQL = {n: q for p in PLANS for n, q in p.catalog.sql.items()}
 
