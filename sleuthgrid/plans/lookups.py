@@ -106,9 +106,10 @@ def ip_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, tx.IPV4)
 
 
-@catalog.query(_FOUND.format(tx.URL.replace("'", "''")).replace("doc_id", "page_id").replace("text", "html").replace("documents", "pages"))
+@catalog.query("SELECT page_id, list_sort(list_distinct(regexp_extract_all('see ' || coalesce(url, '') || ' and (HTTP://B.org/x) <' || coalesce(url, '') || '>', '{}'))) AS found FROM pages".format(tx.URL.replace("'", "''")))
 def url_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", tx.found(F.col("html"), tx.URL).alias("found")).where(F.size("found") > 0)
+    text = F.concat(F.lit("see "), F.coalesce("url", F.lit("")), F.lit(" and (HTTP://B.org/x) <"), F.coalesce("url", F.lit("")), F.lit(">"))
+    return read(spark, sf_dir, "pages").select("page_id", tx.found(text, tx.URL).alias("found"))
 
 
 @catalog.query(r"""

@@ -183,10 +183,10 @@ def port_services(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.query("""
-WITH g AS (SELECT DISTINCT 'h' || o_custkey AS ip FROM orders), f AS (SELECT DISTINCT 'h' || c_custkey AS ip, c_acctbal AS made FROM customer)
+WITH g AS (SELECT DISTINCT 'h' || o_custkey AS ip FROM orders WHERE o_orderstatus = 'P'), f AS (SELECT DISTINCT 'h' || c_custkey AS ip, c_acctbal AS made FROM customer)
 SELECT ip FROM f WHERE ip NOT IN (SELECT ip FROM g) ORDER BY made DESC, ip LIMIT 40
 """)
 def corpus_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = read(spark, sf_dir, "orders").select(F.concat(F.lit("h"), "o_custkey").alias("ip")).distinct()
+    held = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("h"), "o_custkey").alias("ip")).distinct()
     feed = read(spark, sf_dir, "customer").select(F.concat(F.lit("h"), "c_custkey").alias("ip"), F.col("c_acctbal").alias("at"))
     return feed.join(held, "ip", "left_anti").orderBy(F.desc("at"), "ip").limit(40).select("ip")
