@@ -10,8 +10,8 @@ One tree over all documents can't be dealt to tasks, so trees are built in two s
 1. Tiles. Each document is in the tile of each of its first (1 - threshold) * size + 1 shingles in a
    fixed order, rare ones first; two sets that reach the threshold share such a shingle. Order is
    by a count sketch of fixed size over all shingles; any order gives the same links.
-2. Blocks. A document goes, once and with its text, to the block of the least document of the tile in
-   which most of its shingles meet. A block has a tree of its own; links are verified there as they
+2. Blocks. A document that shares a quarter of these shingles with the least document of their tiles goes,
+   once and with its text, to the block of that document with which it shares most. A block has a tree of its own; links are verified there as they
    are found, and documents that links already join are compared no more, so a group of near copies
    costs about as many comparisons as it has documents. Large blocks are dealt to many tasks by a
    hash; some documents of the block, its centre among them, go to all of these.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -246,8 +246,10 @@ def _signatures(docs: DataFrame, classes: np.ndarray, k: int, lower: bool, per_c
 def _block_links(members: DataFrame, docs: DataFrame, k: int, lower: bool, per_cent: int) -> DataFrame:
     """Links (a, b) found in blocks: each document with one of its block's component. members: (token, doc_id, first)."""
     spark = docs.sparkSession
-    near = members.where("doc_id != first").groupBy("doc_id", "first").agg(F.count("*").alias("n"))
-    best = near.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("first")).alias("first"))).alias("x")).select("doc_id", (-F.col("x.first")).alias("centre"))
+    near = members.where("doc_id != first").groupBy("doc_id", "first").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+    best = near.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("first")).alias("first"), "n")).alias("x")).select("doc_id", "x.shared", "x.n", (-F.col("x.first")).alias("centre"))
+    # texts of documents that share little more than chance words needn't be sent; tiles find what links these have
+    best = best.where(f"4 * shared >= n - ({per_cent} * n + 99) div 100 + 1").select("doc_id", "centre")
     best = materialize(best, "ngram-best")
     sizes = best.groupBy("centre").agg(F.count("*").alias("n"))
     tasks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
@@ -356,11 +358,19 @@ def _cells(tiled: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _tile_pairs(labelled: DataFrame, points: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (a, b), a > b, of different components that tiles find and the bound lets pass. labelled: (token, doc_id, comp)."""
+    """The pairs (a, b), a > b, of different components that tiles find and the bound lets pass. labelled: (token, doc_id, comp, n).
+
+    A row whose neighbours by size in the tile are too small and too large for the threshold has no partner there, so its point isn't sent.
+    """
     spark = labelled.sparkSession
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("token", "n")
     mixed = materialize(mixed, "ngram-mixed")
-    tiled = labelled.join(mixed.select("token"), "token", "left_semi").join(points, "doc_id").select("token", "doc_id", "comp", "n", "point")
+    rows = labelled.join(mixed.select("token", F.col("n").alias("rows")), "token")
+    by = Window.partitionBy("token").orderBy("n", "doc_id")
+    few = rows.where(f"rows <= {TILE}").select("*", F.lag("n").over(by).alias("below"), F.lead("n").over(by).alias("above"))
+    few = few.where(f"100 * below >= {per_cent} * n or 100 * n >= {per_cent} * above").select("token", "doc_id", "comp")
+    kept = few.unionByName(rows.where(f"rows > {TILE}").select("token", "doc_id", "comp"))
+    tiled = kept.join(points, "doc_id").select("token", "doc_id", "comp", "n", "point")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, doc, comp, size, points in _whole_tiles(batches):
@@ -437,7 +447,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, per_cent: int = 80, lower
 
     signed = materialize(_signatures(docs, classes, k, lower, per_cent).join(least.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "ngram-signatures")
     points = signed.select("doc_id", "n", "point")
-    dealt = signed.select(F.explode("tokens").alias("token"), "doc_id").repartition(partitions(spark), "token")
+    dealt = signed.select(F.explode("tokens").alias("token"), "doc_id", F.col("n").cast("int").alias("n")).repartition(partitions(spark), "token")
     tiles = dealt.groupBy("token").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     members = materialize(dealt.join(tiles, "token"), "ngram-tiles")
 
@@ -447,7 +457,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, per_cent: int = 80, lower
     one_id = reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")
     stars = components(_block_links(members, docs, k, lower, per_cent).unionByName(one_id))
 
-    labelled = members.select("token", "doc_id").join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("comp")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    labelled = members.select("token", "doc_id", "n").join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("comp")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     labelled = materialize(labelled, "ngram-labelled")
     pairs = materialize(_tile_pairs(labelled, points, per_cent), "ngram-pairs")
     linked = _verified(pairs, docs, k, lower, per_cent)
