@@ -19,7 +19,7 @@ IDENTIFIERS = {
 # What a run's note is about, in the order in which the kinds are tried.
 NOTE_KINDS = {
     "limit": r"(?i)job wall-clock|max_entities|stopping early|cap reached|truncat",
-    "not_configured": r"(?i)skipped \(no |not loaded|never synced|no [A-Z_]*API_KEY|run `umbra |not configured|no key\b",
+    "not_configured": r"(?i)skipped \(no |not loaded|never synced|no [A-Z_]*API_KEY|run `\w+ |not configured|no key\b",
     "source_failed": r"(?i)\berror\b|unavailable|unreachable|timeout|timed out|SERVFAIL|refused|HTTP [45]\d\d|could not|failed",
 }
 # Names of fields that are never shown, and what stands in their place.
