@@ -243,6 +243,24 @@ def _signatures(docs: DataFrame, classes: np.ndarray, k: int, lower: bool, per_c
     return docs.mapInArrow(sign, "doc_id long, n long, tokens array<long>, point binary").where("doc_id is not null and n > 0")
 
 
+def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id may be among ids, by a Bloom filter of fixed size: so that a join with ids sends few other texts."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
+    bits = ids.select((slot + 1).alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
+    wanted = np.zeros(_FILTER_BITS, bool)  # a Bloom filter of fixed size over the ids
+    for r in bits.collect():
+        own = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        wanted[(r["bucket"] - 1) * 32768 :][: len(own)] = own.astype(bool)
+    packed = np.packbits(wanted)
+
+    @F.pandas_udf("boolean")
+    def may_need(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0)
+
+    return docs.where("doc_id is not null").where(may_need(F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))))
+
+
 def _block_links(members: DataFrame, docs: DataFrame, k: int, lower: bool, per_cent: int) -> DataFrame:
     """Links (a, b) found in blocks: each document with one of its block's component. members: (token, doc_id, first)."""
     spark = docs.sparkSession
@@ -259,7 +277,7 @@ def _block_links(members: DataFrame, docs: DataFrame, k: int, lower: bool, per_c
     some = F.when(F.pmod(F.xxhash64("doc_id", F.lit(1)), "n") < ANCHORS, every).otherwise(F.array(F.pmod(h, "tasks").cast("int")))
     dealt = own.select("centre", "doc_id", F.explode(F.when(F.col("tasks").isNull(), F.array(F.lit(0))).otherwise(some)).alias("task"))
     centres = sizes.select("centre", F.col("centre").alias("doc_id"), F.explode(F.expr(f"sequence(0, cast(ceil(n / {BLOCK}) as int) - 1)")).alias("task"))
-    rows = dealt.unionByName(centres).join(docs.where("doc_id is not null"), "doc_id").select("centre", "task", "doc_id", "text")
+    rows = dealt.unionByName(centres).join(_wanted(docs, best.select(F.explode(F.array("doc_id", "centre")).alias("id"))), "doc_id").select("centre", "task", "doc_id", "text")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray]] = []
@@ -300,21 +318,7 @@ def _block_links(members: DataFrame, docs: DataFrame, k: int, lower: bool, per_c
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, lower: bool, per_cent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, from their whole texts."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    slot = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
-    bits = ids.select((slot + 1).alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
-    wanted = np.zeros(_FILTER_BITS, bool)  # a Bloom filter of fixed size over the documents in pairs
-    for r in bits.collect():
-        own = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-        wanted[(r["bucket"] - 1) * 32768 :][: len(own)] = own.astype(bool)
-    packed = np.packbits(wanted)
-
-    @F.pandas_udf("boolean")
-    def may_need(slots: pd.Series) -> pd.Series:
-        at = slots.to_numpy()
-        return pd.Series(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0)
-
-    need = docs.where("doc_id is not null").where(may_need(F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))))
+    need = _wanted(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
     both = pairs.join(need.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     both = both.join(need.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
 
