@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import parse_transcripts
 from .decontaminate import find_leaks
+from .fill_middle import fill_in_middle, restored
 from .html_extract import extract_main_text
 from .line_dedup import dedup_lines
 from .ngram_join import jaccard_components
@@ -16,6 +17,7 @@ from .shared import table, tokenizer_path
 from .sharding import assign_shards
 from .substring_dedup import dedup_substrings
 from .url_filter import judge_urls
+from .vector_codes import vector_codes
 
 
 #: The rules of op3, fixed values.
@@ -64,6 +66,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = (F.sha2(c, 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (restored(F.col("output"), F.col("form")), "restored_sha256")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_extraction": op2_html_extraction,
@@ -75,6 +87,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 _OP8 = r"""
@@ -170,4 +184,49 @@ WITH u AS (
 SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best ON best.page_id = u.page_id
 """
 
-ORACLE_SQL = {"op3_url_filters": _OP3, "op10_quality_rules": _OP10, "op1_ngram_jaccard_join": _OP1, "op8_substring_dedup": _OP8}
+_OP11 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), d AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+_OP12 = (
+    r"""
+WITH v AS (
+  SELECT vec_id, label, len(embedding) // 16 AS w, unnest(range(len(embedding))) AS j, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT EXISTS (SELECT 1 FROM unnest(embedding) t(c) WHERE c IS NULL OR NOT isfinite(c))
+), x AS MATERIALIZED (SELECT vec_id, label, j // w AS part, list(x ORDER BY j) AS x FROM v GROUP BY ALL
+), b0 AS (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS e, x FROM x WHERE vec_id IN (SELECT DISTINCT vec_id FROM x ORDER BY vec_id LIMIT 64)
+)"""
+    + "".join(
+        rf""", n{r} AS MATERIALIZED (
+  SELECT vec_id, part, min(list_sum(list_transform(list_zip(x.x, b{r}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) AS m FROM x JOIN b{r} USING (part) GROUP BY ALL
+), b{r + 1} AS MATERIALIZED (
+  SELECT part, e, coalesce(list(y ORDER BY j), any_value(old)) AS x FROM (
+    SELECT b{r}.part, b{r}.e, any_value(b{r}.x) AS old, j, floor(sum(c)::HUGEINT / count(c))::BIGINT AS y
+    FROM b{r} LEFT JOIN (SELECT part, m % 64 AS e, unnest(range(len(x))) AS j, unnest(x) AS c FROM n{r} JOIN x USING (vec_id, part)) USING (part, e) GROUP BY b{r}.part, b{r}.e, j
+  ) GROUP BY part, e
+)"""
+        for r in range(2)
+    )
+    + r""", n2 AS (
+  SELECT vec_id, label, part, min(list_sum(list_transform(list_zip(x.x, b2.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) AS m FROM x JOIN b2 USING (part) GROUP BY ALL
+), c AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', CAST(m % 64 AS BIGINT))), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM n2 GROUP BY ALL
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) FROM b2) AS codebooks_sha256 FROM c
+"""
+)
+
+ORACLE_SQL = {"op3_url_filters": _OP3, "op10_quality_rules": _OP10, "op1_ngram_jaccard_join": _OP1, "op8_substring_dedup": _OP8, "op11_fill_in_middle": _OP11, "op12_vector_codes": _OP12}
