@@ -23,7 +23,7 @@ Tiles of more than TILE rows are dealt as pairs of cells, so that none has to fi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,8 @@ LEAF_TILE = 32
 PAIRS, BLOCK, TREE_BYTES, TILE = 1 << 15, 2048, 24 << 20, 8192
 #: Documents of a large block that go to all of its tasks.
 ANCHORS = 32
+#: A set's size and two fingerprints stand for it.
+SET = ["n", "one", "two"]
 
 
 def point_of(shingles: np.ndarray) -> bytes:
@@ -174,6 +176,12 @@ def link(sets: list[np.ndarray], points: Points, comp: np.ndarray, per_cent: int
         found = _all_pairs(points, size, comp, per_cent)
     else:
         found = CountRTree(points, size, comp).pairs(per_cent)
+    return link_found(found, sets, comp, per_cent)
+
+
+def link_found(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], sets: list[np.ndarray], comp: np.ndarray, per_cent: int) -> np.ndarray:
+    """comp after verifying the pairs (i, j, how likely) that are found, those of one component left out. comp changes while they are sought."""
+    size = np.array([len(s) for s in sets])
     for i, j, bound in found:
         first = True
         while True:
@@ -261,14 +269,21 @@ def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").where(may_need(F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))))
 
 
-def _block_links(members: DataFrame, docs: DataFrame, k: int, lower: bool, per_cent: int) -> DataFrame:
-    """Links (a, b) found in blocks: each document with one of its block's component. members: (token, doc_id, first)."""
-    spark = docs.sparkSession
+def _centres(members: DataFrame, per_cent: int) -> DataFrame:
+    """(doc_id, centre): the least document of the tiles with which each shares most. members: (token, doc_id, n, first)."""
     near = members.where("doc_id != first").groupBy("doc_id", "first").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
     best = near.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("first")).alias("first"), "n")).alias("x")).select("doc_id", "x.shared", "x.n", (-F.col("x.first")).alias("centre"))
     # texts of documents that share little more than chance words needn't be sent; tiles find what links these have
-    best = best.where(f"4 * shared >= n - ({per_cent} * n + 99) div 100 + 1").select("doc_id", "centre")
-    best = materialize(best, "ngram-best")
+    return best.where(f"4 * shared >= n - ({per_cent} * n + 99) div 100 + 1").select("doc_id", "centre")
+
+
+def block_links(best: DataFrame, docs: DataFrame, k: int, lower: bool, linked: Callable[[list[np.ndarray], np.ndarray], np.ndarray]) -> DataFrame:
+    """Links (a, b) found in blocks: each document with one of its block's component. best: (doc_id, centre).
+
+    linked: the components of sets in the order of their sizes, given those already known.
+    """
+    spark = docs.sparkSession
+    best = materialize(best, "block-best")
     sizes = best.groupBy("centre").agg(F.count("*").alias("n"))
     tasks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
     every = F.expr("sequence(0, tasks - 1)")
@@ -287,7 +302,7 @@ def _block_links(members: DataFrame, docs: DataFrame, k: int, lower: bool, per_c
             held.sort(key=lambda x: len(x[1]))
             ids = np.array([d for d, _ in held])
             comp = np.unique(ids, return_inverse=True)[1]  # rows of one doc_id are one document
-            comp = link([s for _, s in held], Points.of([point_of(s) for _, s in held]), comp, per_cent)
+            comp = linked([s for _, s in held], comp)
             order = np.lexsort((ids, comp))
             new = np.diff(comp[order], prepend=-1) != 0
             least = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
@@ -316,7 +331,7 @@ def _block_links(members: DataFrame, docs: DataFrame, k: int, lower: bool, per_c
     return rows.repartition(partitions(spark), "centre", "task").sortWithinPartitions("centre", "task").mapInArrow(search, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, lower: bool, per_cent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, k: int, lower: bool, per_cent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, from their whole texts."""
     need = _wanted(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
     both = pairs.join(need.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
@@ -338,7 +353,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, lower: bool, per_cent:
     return both.mapInArrow(verify, "a long, b long")
 
 
-def _cells(tiled: DataFrame, sizes: DataFrame) -> DataFrame:
+def cells(tiled: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows of tiles with the columns u and v: tasks that together see each two rows of a tile of different components.
 
     A tile of up to TILE rows is one task. The rows of a larger one are dealt to cells: those of a
@@ -354,8 +369,8 @@ def _cells(tiled: DataFrame, sizes: DataFrame) -> DataFrame:
     marked = rows.join(whole.withColumnRenamed("whole", "comp"), ["token", "comp"], "left").join(rest, "token", "left")
     place = F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.expr(f"own div {TILE} + 1"))).otherwise(F.pmod(F.xxhash64("comp"), F.expr(f"rest div {TILE} + 1")))
     marked = marked.withColumn("kind", F.when(F.col("own").isNotNull(), F.col("comp"))).withColumn("cell", F.xxhash64("kind", place))
-    cells = marked.select("token", "kind", "cell").distinct()
-    left, right = (cells.select("token", F.col("kind").alias(f"{s}_kind"), F.col("cell").alias(s)) for s in "uv")
+    each = marked.select("token", "kind", "cell").distinct()
+    left, right = (each.select("token", F.col("kind").alias(f"{s}_kind"), F.col("cell").alias(s)) for s in "uv")
     tasks = left.join(right, "token").where("u <= v and (u_kind is null or v_kind is null or u_kind <> v_kind)").select("token", "u", "v")
     sides = tasks.select("token", "u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("cell"))
     return small.unionByName(marked.join(sides, ["token", "cell"]).select(*tiled.columns, "u", "v"))
@@ -392,7 +407,7 @@ def _tile_pairs(labelled: DataFrame, points: DataFrame, per_cent: int) -> DataFr
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    dealt = _cells(tiled, mixed).repartition(partitions(spark), "token", "u", "v").sortWithinPartitions("token", "u", "v", "n", "doc_id")
+    dealt = cells(tiled, mixed).repartition(partitions(spark), "token", "u", "v").sortWithinPartitions("token", "u", "v", "n", "doc_id")
     return dealt.mapInArrow(search, "a long, b long").where("a <> b").distinct()
 
 
@@ -445,9 +460,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, per_cent: int = 80, lower
     summaries = materialize(_summaries(docs, k, lower), "ngram-summaries")
     classes = _classes(summaries)
     rows = summaries.where("slot is null").select("doc_id", "n", "one", "two")
-    sets = ["n", "one", "two"]
     full = rows.where("n > 0 and doc_id is not null")
-    least = materialize(full.groupBy(*sets).agg(F.min("doc_id").alias("rep")), "ngram-least")
+    least = materialize(full.groupBy(*SET).agg(F.min("doc_id").alias("rep")), "ngram-least")
 
     signed = materialize(_signatures(docs, classes, k, lower, per_cent).join(least.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "ngram-signatures")
     points = signed.select("doc_id", "n", "point")
@@ -455,23 +469,33 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, per_cent: int = 80, lower
     tiles = dealt.groupBy("token").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     members = materialize(dealt.join(tiles, "token"), "ngram-tiles")
 
-    # sets of one repeated doc_id belong together: their least documents are linked by it
+    stars = components(block_links(_centres(members, per_cent), docs, k, lower, lambda sets, comp: link(sets, Points.of([point_of(s) for s in sets]), comp, per_cent)).unionByName(one_id(full, least)))
+    labelled = materialize(label(members.select("token", "doc_id", "n"), stars), "ngram-labelled")
+    pairs = materialize(_tile_pairs(labelled, points, per_cent), "ngram-pairs")
+    return by_sets(rows, least, stars, verified(pairs, docs, k, lower, per_cent))
+
+
+def one_id(full: DataFrame, least: DataFrame) -> DataFrame:
+    """Links (a, b): the sets of one repeated doc_id belong together, so their least documents are linked by it."""
     several = full.groupBy("doc_id").agg(F.min("one").alias("lo"), F.max("one").alias("hi")).where("lo < hi").select("doc_id")
-    reps = full.join(several, "doc_id", "left_semi").join(least, sets).select("doc_id", "rep").distinct()
-    one_id = reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")
-    stars = components(_block_links(members, docs, k, lower, per_cent).unionByName(one_id))
+    reps = full.join(several, "doc_id", "left_semi").join(least, SET).select("doc_id", "rep").distinct()
+    return reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")
 
-    labelled = members.select("token", "doc_id", "n").join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("comp")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    labelled = materialize(labelled, "ngram-labelled")
-    pairs = materialize(_tile_pairs(labelled, points, per_cent), "ngram-pairs")
-    linked = _verified(pairs, docs, k, lower, per_cent)
+
+def label(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """members with the component comp of their doc_id."""
+    return members.join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("comp")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+
+
+def by_sets(rows: DataFrame, least: DataFrame, stars: DataFrame, linked: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of the rows (doc_id, n, one, two), by the least document of each set, components so far and further links."""
     of = lambda side: stars.select(F.col("a").alias(side), F.col("b").alias(f"{side}_comp"))
     joined = linked.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
     merged = components(joined)
-
     final = least.join(stars.withColumnsRenamed({"a": "rep", "b": "star"}), "rep", "left").withColumn("star", F.coalesce("star", "rep"))
-    final = final.join(merged.withColumnsRenamed({"a": "star", "b": "merged"}), "star", "left").select(*sets, F.coalesce("merged", "star").alias("component_id"))
-    found = full.join(final, sets, "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")  # a set that many rows share is split by adaptive execution
+    final = final.join(merged.withColumnsRenamed({"a": "star", "b": "merged"}), "star", "left").select(*SET, F.coalesce("merged", "star").alias("component_id"))
+    full = rows.where("n > 0 and doc_id is not null")
+    found = full.join(final, SET, "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")  # a set that many rows share is split by adaptive execution
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
 

@@ -10,6 +10,7 @@ from .decontaminate import find_leaks
 from .fill_middle import fill_in_middle, restored
 from .html_extract import extract_main_text
 from .line_dedup import dedup_lines
+from .minmax import near_duplicates
 from .ngram_join import jaccard_components
 from .packing import pack
 from .quality import judge_quality
@@ -76,6 +77,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, per_cent=80, lower=True)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_extraction": op2_html_extraction,
@@ -89,6 +94,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_vector_codes": op12_vector_codes,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
 _OP8 = r"""
@@ -229,4 +235,6 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 )
 
-ORACLE_SQL = {"op3_url_filters": _OP3, "op10_quality_rules": _OP10, "op1_ngram_jaccard_join": _OP1, "op8_substring_dedup": _OP8, "op11_fill_in_middle": _OP11, "op12_vector_codes": _OP12}
+_OP13 = f"SELECT *, doc_id = component_id AS kept FROM ({_OP1.replace('85 *', '80 *')})"
+
+ORACLE_SQL = {"op3_url_filters": _OP3, "op10_quality_rules": _OP10, "op1_ngram_jaccard_join": _OP1, "op8_substring_dedup": _OP8, "op11_fill_in_middle": _OP11, "op12_vector_codes": _OP12, "op13_minhash_near_dedup": _OP13}
