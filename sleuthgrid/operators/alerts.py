@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, MapType, StringType
 
+from ..functions.nested import flat_object, json_records
 from ..functions.network import address_key, is_public
 
 # The names under which systems give each field, the first that holds something counts; and fields of our own side.
@@ -27,52 +22,6 @@ DOMAIN = r"^(?=.{1,253}$)(?:[a-z0-9_](?:[a-z0-9_-]{0,61}[a-z0-9])?\.)+[a-z]{2,63
 RESERVED = r"\.(local|internal|lan|corp|home\.arpa)$"
 
 
-def _plain(value: object) -> str | None:
-    """A leaf as text: of a list the first element; null for what holds nothing."""
-    if isinstance(value, list):
-        value = value[0] if value else None
-    if value is None or value == "":
-        return None
-    return value if isinstance(value, str) else json.dumps(value)
-
-
-def _leaves(record: dict, prefix: str = "") -> Iterator[tuple[str, str]]:
-    for name, value in record.items():
-        path = f"{prefix}{name}".lower()
-        if isinstance(value, dict):
-            yield from _leaves(value, f"{path}.")
-        elif (text := _plain(value)) is not None:
-            yield path, text
-
-
-def _parsed(text: str) -> object:
-    try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
-        return None
-
-
-def _records(text: str | None) -> list[dict]:
-    """The objects in a text: one, an array, a search response with hits, or one for each line."""
-    whole = _parsed(text or "")
-    if isinstance(whole, dict):
-        hits = whole.get("hits")
-        inner = hits.get("hits") if isinstance(hits, dict) else None
-        if not isinstance(inner, list):
-            return [whole]
-        whole = [h.get("_source", h) for h in inner if isinstance(h, dict)]
-    if isinstance(whole, list):
-        return [r for r in whole if isinstance(r, dict)]
-    lines = map(_parsed, (text or "").splitlines())
-    return [r for r in lines if isinstance(r, dict)]
-
-
-@pandas_udf(ArrayType(MapType(StringType(), StringType())))
-def flat_records(texts: pd.Series) -> pd.Series:
-    """Of each text its records, as maps from dotted lower-case names to what they hold."""
-    return texts.map(lambda t: [dict(_leaves(r)) for r in _records(t)])
-
-
 def field(flat: Column, names: str) -> Column:
     return F.coalesce(*(F.try_element_at(flat, F.lit(n)) for n in names.split()))
 
@@ -98,7 +47,7 @@ def normalise(raw: DataFrame, key: list[str], text: str) -> DataFrame:
     fields of our own side are named in kept_local, never shown. In an inbound alert the host and url
     are ours, so the caller's address alone is one.
     """
-    rows = raw.select(*key, F.posexplode(flat_records(F.col(text))).alias("nth", "_f"))
+    rows = raw.select(*key, F.posexplode(json_records(F.col(text))).alias("nth", "_v")).select(*key, "nth", flat_object(F.col("_v")).alias("_f"))
     flat = F.col("_f")
     for name, names in FIELDS.items():
         rows = rows.withColumn(f"_{name}", field(flat, names))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fields
+from ..functions import fields, nested
 from ..tables import read
 from .catalog import Catalog
 
@@ -133,3 +133,14 @@ def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     asked = read(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select("c_custkey", F.expr("right(c_name, 4)").alias("part"))
     return containing(asked, read(spark, sf_dir, "supplier").select("s_suppkey", F.lower("s_name").alias("n")), "part", "n").select("c_custkey", "s_suppkey")
+
+
+@catalog.query("""
+WITH e AS (SELECT event_id, '{"k": ' || props || ', "list": [' || user_id || ', {"kind": "' || event_type || '", "pair": [true, null, ["' || event_id || '"]]}], "none": {}}' AS j FROM events WHERE props IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL)
+SELECT event_id, list(path || '=' || CASE WHEN type = 'BOOLEAN' THEN lower(CAST(atom AS VARCHAR)) ELSE json_extract_string(atom, '$') END ORDER BY path || '=' || CASE WHEN type = 'BOOLEAN' THEN lower(CAST(atom AS VARCHAR)) ELSE json_extract_string(atom, '$') END) AS leaves
+FROM (SELECT e.event_id, t.type, t.atom, regexp_replace(regexp_replace(t.fullkey, '\\[[0-9]+\\]', '', 'g'), '^\\$\\.', '') AS path FROM e, json_tree(e.j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')) GROUP BY 1
+""")
+def nested_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('{"k": '), "props", F.lit(', "list": ['), "user_id", F.lit(', {"kind": "'), "event_type", F.lit('", "pair": [true, null, ["'), "event_id", F.lit('"]]}], "none": {}}'))
+    rows = read(spark, sf_dir, "events").where("props is not null and user_id is not null and event_type is not null").select("event_id", nested.json_leaves(text).alias("leaves"))
+    return rows.select("event_id", F.array_sort(F.transform("leaves", lambda x: F.concat(x["path"], F.lit("="), x["value"]))).alias("leaves"))

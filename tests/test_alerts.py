@@ -2,13 +2,15 @@ import json
 
 from pyspark.sql import functions as F
 
+from sleuthgrid.functions.nested import flat_object, json_records
 from sleuthgrid.operators import alerts
 
 
 def test_forms_of_records(spark):
     texts = ['{"A": {"b": [3, 4], "C": ""}, "d": true}', '{"x": 1}\nnoise\n{"x": "2"}', '{"hits": {"hits": [{"_source": {"y": {"z": "v"}}}]}}', '[{"a": null}, 5]', "plain", "", None, "[" * 5000]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
-    assert [r[0] for r in rows.select(alerts.flat_records(F.col("t"))).collect()] == [[{"a.b": "3", "d": "true"}], [{"x": "1"}, {"x": "2"}], [{"y.z": "v"}], [{}], [], [], [], []]
+    found = rows.select("i", F.explode(json_records(F.col("t"))).alias("v")).select("i", flat_object(F.col("v")).alias("f"))
+    assert [tuple(r) for r in found.collect()] == [(0, {"a.b": "3", "d": "true"}), (1, {"x": "1"}), (1, {"x": "2"}), (2, {"y.z": "v"}), (3, {})]
 
 
 def test_kinds_and_indicators(spark):
