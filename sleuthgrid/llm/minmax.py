@@ -9,9 +9,9 @@ pair at the threshold shares none with a probability below MISS. Candidates are
 
 1. Blocks. Each document goes, once and with its text, to the document with which it shares most bands. There, links are
    verified on the whole sets from one centre of a band after the other; documents that links already join are compared no more.
-2. Bands that still hold several components. Their documents are compared by a byte of each signature value, in
-   cells of a bounded number of rows. Pairs that agree in fewer values than one at the threshold would with a probability
-   above MISS go, all others are verified on their texts.
+2. Bands that still hold several components. Their documents are compared in cells of a bounded number of rows, each
+   pair in the first band that it shares. A bitmap of each set, of BITS bits, bounds the overlap: a bit that one of two
+   documents has alone is a shingle that the other lacks. Pairs that the bound lets pass are verified on their texts.
 
 A band holds a document once, so a group of copies makes up at most one row in as many as there are bands in any task.
 """
@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .ngram_join import PAIRS, SET, block_links, by_sets, cells, label, link_found, one_id, verified
+from .ngram_join import PAIRS, SET, block_links, by_sets, cells, label, link_found, may_link, one_id, verified
 from .shared import materialize, partitions, texts
 from .words import mix, ranges, words_of
 
-#: Values in a band, and the probability that a pair at the threshold is missed by bands or by an estimate.
-ROWS, MISS = 4, 1e-9
+#: Values in a band, the probability that a pair at the threshold shares no band, and bits of a set's bitmap.
+ROWS, MISS, BITS = 4, 1e-9, 2048
 #: Documents of a band with which a block compares the others; what these don't link is left to the second step.
 CENTRES = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -48,7 +48,7 @@ class MinMax:
         rng = np.random.default_rng(seed)
         self.factor = rng.integers(0, 1 << 63, self.values // 2, np.uint64) * np.uint64(2) + np.uint64(1)
         self.shift = rng.integers(0, 1 << 63, self.values // 2, np.uint64) * np.uint64(2)
-        # a pair at the threshold agrees in fewer values with a probability of at most exp(-values * divergence)
+        # a pair at the threshold agrees in fewer values with a probability of at most exp(-values * divergence); blocks don't try such pairs
         self.agree = max((c for c in range(math.ceil(t * self.values)) if self.values * _divergence(c / self.values, t) >= -math.log(MISS)), default=0)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
@@ -68,10 +68,6 @@ class MinMax:
             out = mix(out * _STEP + own[:, :, r])
         return out
 
-    def digests(self, signatures: np.ndarray) -> np.ndarray:
-        """A byte of each value: equal values have equal ones."""
-        return (signatures & np.uint32(255)).astype(np.uint8)
-
     def found(self, sets: list[np.ndarray], comp: np.ndarray, per_cent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(i, j, values that agree): of each band one document of each component with the others of the band."""
         size = np.array([len(s) for s in sets])
@@ -101,13 +97,25 @@ class MinMax:
                 tried[i[comp[i] == comp[j]]] = True
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, bool)
+    bits[(shingles >> np.uint64(20)).astype(np.int64) % BITS] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_overlap(p_bits: np.ndarray, p_size: np.ndarray, q_bits: np.ndarray, q_size: np.ndarray) -> np.ndarray:
+    """Bounds of the overlap of sets, by bitmaps in 64-bit words: what one has alone isn't shared."""
+    alone = lambda a, b: np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
+    return np.minimum(p_size - alone(p_bits, q_bits), q_size - alone(q_bits, p_bits))
+
+
 def _divergence(x: float, t: float) -> float:
     term = lambda p, q: p * math.log(p / q) if p else 0.0
     return term(x, t) + (term(1 - x, 1 - t) if t < 1 else math.inf if x < 1 else 0.0)
 
 
 def _signed(docs: DataFrame, k: int, lower: bool, hashing: MinMax) -> DataFrame:
-    """Of each row doc_id, n and two fingerprints of its set, and its signature; null without a set."""
+    """Of each row doc_id, n and two fingerprints of its set, its signature and bitmap; null without a set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,9 +124,10 @@ def _signed(docs: DataFrame, k: int, lower: bool, hashing: MinMax) -> DataFrame:
                 one = pa.array([int(mix(s).sum()) for s in sets], pa.uint64()).view(pa.int64())
                 two = pa.array([int(np.bitwise_xor.reduce(mix(s + np.uint64(1)))) if len(s) else 0 for s in sets], pa.uint64()).view(pa.int64())
                 signatures = pa.array([hashing.signature(s).tobytes() if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), one, two, signatures], ["doc_id", *SET, "signature"])
+                bits = pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), one, two, signatures, bits], ["doc_id", *SET, "signature", "bits"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, one long, two long, signature binary")
+    return docs.mapInArrow(sign, "doc_id long, n long, one long, two long, signature binary, bits binary")
 
 
 def _matrix(column: pa.Array, values: int) -> np.ndarray:
@@ -146,14 +155,14 @@ def _band_pairs(labelled: DataFrame, signed: DataFrame, hashing: MinMax, per_cen
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            short = hashing.digests(_matrix(b.column("signature"), hashing.values))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "size", "digest"])
+            keys = hashing.keys(_matrix(b.column("signature"), hashing.values)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), b.column("bits"), pa.array([k.tobytes() for k in keys], pa.binary())], ["doc_id", "size", "bits", "keys"])
 
-    digests = signed.select("doc_id", "n", "signature").mapInArrow(shorten, "doc_id long, size long, digest binary")
-    rows = labelled.join(mixed.select("token"), "token", "left_semi").join(digests, "doc_id").select("token", "doc_id", "comp", "size", "digest")
+    short = signed.select("doc_id", "n", "bits", "signature").mapInArrow(shorten, "doc_id long, size long, bits binary, keys binary")
+    rows = labelled.join(mixed.select("token"), "token", "left_semi").join(short, "doc_id").select("token", "doc_id", "comp", "size", "bits", "keys")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, doc, comp, size, digest in _whole_cells(batches, hashing.values):
+        for cell, doc, comp, size, token, bits, keys in _whole_cells(batches):
             after = np.searchsorted(cell, cell, "right") - np.arange(len(cell)) - 1
             done = np.cumsum(after)
             lo = 0
@@ -166,7 +175,9 @@ def _band_pairs(labelled: DataFrame, signed: DataFrame, hashing: MinMax, per_cen
                 i, j = i[ok], j[ok]
                 for s in range(0, len(i), PAIRS):
                     p, q = i[s : s + PAIRS], j[s : s + PAIRS]
-                    ok = (digest[p] == digest[q]).sum(axis=1) >= hashing.agree
+                    ok = may_link(most_overlap(bits[p], size[p], bits[q], size[q]), size[p], size[q], per_cent)
+                    p, q = p[ok], q[ok]
+                    ok = keys[p, (keys[p] == keys[q]).argmax(axis=1)] == token[p]  # this is the first band that they share
                     a, b = doc[p[ok]], doc[q[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
@@ -174,8 +185,8 @@ def _band_pairs(labelled: DataFrame, signed: DataFrame, hashing: MinMax, per_cen
     return dealt.mapInArrow(search, "a long, b long").where("a <> b").distinct()
 
 
-def _whole_cells(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(number of the cell, doc_id, comp, size, digest) of runs of sorted rows that end where a cell ends."""
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(number of the cell, doc_id, comp, size, token, bits, keys) of runs of sorted rows that end where a cell ends; of tokens and keys 32 bits."""
     held: list[tuple[np.ndarray, ...]] = []
     number, rows, last = 0, 0, None
     for whole in batches:
@@ -188,8 +199,8 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[tup
             last = at[-1]
             cell = number + np.cumsum(new)
             number = int(cell[-1])
-            digest = np.frombuffer(b"".join(b.column("digest").to_pylist()), np.uint8).reshape(-1, values)
-            held.append((cell, *(b.column(c).to_numpy() for c in ("doc_id", "comp", "size")), digest))
+            bits, keys = (np.frombuffer(b"".join(b.column(c).to_pylist()), kind).reshape(len(at), -1) for c, kind in (("bits", "<u8"), ("keys", "<u4")))
+            held.append((cell, *(b.column(c).to_numpy() for c in ("doc_id", "comp", "size")), at[:, 0].astype(np.uint32), bits, keys))
             rows += len(at)
             if rows >= 8192 and new.any():
                 joined = tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -208,7 +219,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, per_cent: int = 80, lower: b
     component_id is the least doc_id that links reach, itself included, and kept says whether that is the row's own. A
     text of fewer than k words is one shingle; a null, empty or blank one has none and links with nothing. lower:
     A-Z are lower-cased. Equal sets are always linked; two that differ and reach the threshold are missed with a
-    probability below 2 * MISS unless others link them, whatever the corpus.
+    probability of some 1e-8 (no shared band, or an equal 32-bit key in an earlier one) unless others link them.
 
     Rows that repeat a doc_id are one document, linked by any of its texts. A null doc_id links with nothing, its
     component_id is null and the row is kept. Further columns are ignored; an empty table gives no rows. A text is worked on whole, in

@@ -43,6 +43,17 @@ def test_pairs_at_the_threshold_share_bands_and_estimates_are_unbiased(n):
     assert abs(np.mean(shared) / hashing.bands - true**minmax.ROWS) < 0.03
 
 
+def test_bitmaps_never_bound_too_low():
+    rng = np.random.default_rng(5)
+    for n in (5, 100, 700, 5000):
+        for share in (0.3, 0.7, 0.8, 0.95):
+            a, b = pair(rng, n, share)
+            words = [np.frombuffer(minmax.bitmap(x), "<u8")[None] for x in (a, b)]
+            bound = int(minmax.most_overlap(words[0], np.array([n]), words[1], np.array([n]))[0])
+            true = len(np.intersect1d(a, b))
+            assert true <= bound <= n and (n > 700 or bound - true <= 0.5 * (n - true) + 3)
+
+
 def test_unlike_sets_share_few_bands():
     rng, hashing = np.random.default_rng(1), MinMax(80)
     shared = [int((np.diff(hashing.keys(np.stack([hashing.signature(x) for x in pair(rng, 200, 0.2)])).astype(np.int64), axis=0) == 0).sum()) for _ in range(200)]
