@@ -6,8 +6,8 @@ holder is the least doc_id that has it. Every later document which has the run i
 holder, so a run that r documents share makes r - 1 pairs, however frequent it is. Paired documents
 are aligned by patience diff on line hashes: lines unique in both, in their longest common order,
 are anchors, and equal lines around them join the anchors' blocks. Blocks of at least `min_words`
-words are deleted from the later document. An alignment keeps order, so runs that the pair has in
-another order are deleted after it. Every line with words of a block which an alignment may delete is in
+words are deleted from the later document, and nothing else. An alignment keeps order, so blocks that the pair
+has in another order are aligned for themselves after it. Every line with words of a block which an alignment may delete is in
 a run of that block, so no other earlier holder could delete words that a document keeps. Only line
 hashes are shuffled to be aligned, no text.
 """
@@ -166,15 +166,23 @@ def _seeds(hashes: list[int], words: list[int], min_words: int) -> list[int]:
     return list(found)
 
 
-def _gone(before: list[int], known: set[tuple[int, ...]], own: list[int], words: list[int], min_words: int) -> list[int]:
-    """The lines of a document that it loses to an earlier one, whose runs are `known`."""
+def _gone(before: list[int], known: dict[tuple[int, ...], int], own: list[int], words: list[int], min_words: int) -> list[int]:
+    """The lines of a document that it loses to an earlier one, all in aligned blocks. known: where the earlier one's runs begin.
+
+    An alignment keeps order, so blocks that the pair has in another order are aligned after it, each for itself from a
+    run that both have on.
+    """
     at: set[int] = set()
     for _, j, n in align(before, own):
         if sum(words[j : j + n]) >= min_words:
             at.update(range(j, j + n))
     for s, e in runs(words, min_words):
-        if not at.issuperset(range(s, e)) and tuple(own[s:e]) in known:
-            at.update(range(s, e))
+        if at.issuperset(range(s, e)) or (place := known.get(tuple(own[s:e]))) is None:
+            continue
+        end = e
+        while end < len(own) and end not in at and place + end - s < len(before) and own[end] == before[place + end - s]:
+            end += 1
+        at.update(s + j + k for _, j, n in align(before[place : place + end - s], own[s:end]) for k in range(n))
     return sorted(at)
 
 
@@ -211,7 +219,7 @@ def line_deletions(docs: DataFrame, *, min_words: int = 5, rare: int | None = No
                 if (first, task) != key:
                     key, before = (first, task), []
                 if holds:
-                    before.append((own, {tuple(own[s:e]) for s, e in runs(words, min_words)}))
+                    before.append((own, {tuple(own[s:e]): s for s, e in reversed(list(runs(words, min_words)))}))
                     continue
                 gone: set[int] = set()
                 for theirs, known in before:  # rows that repeat the holder's doc_id, mostly one

@@ -78,6 +78,20 @@ def test_corpus_as_brute_force(spark, monkeypatch):
         assert {r["doc_id"]: [x for x in (r["text"] or "").split("\n") if words(x)] for r in out} == want
 
 
+def test_alignments_alone_delete(spark, monkeypatch):
+    rng = random.Random(2)
+    for _ in range(300):  # the first alignment takes the longest ordered part, what is left comes from blocks in another order
+        a = [rng.randint(0, 30) for _ in range(20)]
+        cut = rng.randint(1, 19)
+        own, width = a[cut:] + a[:cut], [1] * 20
+        known = {tuple(a[s:e]): s for s, e in line_dedup.runs(width, 5)}
+        first = {j + k for _, j, n in align(a, own) if n >= 5 for k in range(n)}
+        both = line_dedup._gone(a, known, own, width, 5)
+        assert first <= set(both) and set(both) >= {x for s, e in line_dedup.runs(width, 5) if tuple(own[s:e]) in known for x in range(s, e)}
+    monkeypatch.setattr(line_dedup, "align", lambda a, b: [])
+    assert line_dedup._gone([1, 2, 3], {(1, 2): 0}, [1, 2, 3], [3, 3, 3], 5) == []
+
+
 def test_long_repetitive_texts_take_little():
     rng = random.Random(6)
     sequences = [([1, 2, 3] * 5000, [2, 1, 3, 3] * 5000), ([1] * 20_000, [1] * 15_000 + [2]), ([rng.randint(0, 3) for _ in range(10_000)], [rng.randint(0, 3) for _ in range(10_000)]), (list(range(10_000)), list(range(10_000))[::-1])]
