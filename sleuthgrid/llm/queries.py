@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_format import parse_transcripts
+from .chat_format import parse_transcripts, transcripts
 from .decontaminate import find_leaks
 from .fill_middle import fill_in_middle, restored
 from .html_extract import extract_main_text
@@ -46,7 +46,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_transcripts(table(spark, sf_dir, "conversations"), speaker="role")
+    return parse_transcripts(transcripts(table(spark, sf_dir, "conversations")))  # no speaker is given: roles come from the model
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

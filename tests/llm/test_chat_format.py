@@ -1,6 +1,6 @@
 import random
 
-from sleuthgrid.llm.chat_format import BEGIN, FREE, N_OBS, ROLES, STATES, chain, labelled_transcripts, marker, model, observe, parse_transcripts, product, role_of, viterbi
+from sleuthgrid.llm.chat_format import BEGIN, FREE, N_OBS, ROLES, STATES, chain, labelled_transcripts, marker, model, observe, parse_transcripts, product, role_of, transcripts, viterbi
 
 
 def test_markers():
@@ -47,16 +47,56 @@ def test_held_out_transcripts():
 
 
 def test_given_conversations(spark):
-    """A given speaker wins: role and text of every row come back. Without the column most roles are recovered from markers."""
+    """A given speaker wins: role and text of every row come back."""
     talks = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     want = sorted((r["conv_id"], r["turn"], {"human": "user"}.get(r["role"], r["role"]), r["text"]) for r in talks.collect())
     got = parse_transcripts(talks.repartition(3), speaker="role").collect()
     assert sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in got) == want and all(r["opens"] for r in got)
-    marked = talks.selectExpr("conv_id", "turn", "concat(role, ': ', text) as text")
-    found = {}
-    for r in sorted(parse_transcripts(marked).collect(), key=lambda r: (r["conv_id"], r["turn"], r["line"])):
-        found.setdefault((r["conv_id"], r["turn"]), r["role"])
-    assert sum(found[c, t] == role for c, t, role, _ in want) >= 0.98 * len(want)
+
+
+def test_roles_come_back_from_written_transcripts(spark):
+    """As the query has it, without the speaker's column: markers in five dialects, one row in ten without one."""
+    talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    want = {(r["conv_id"], r["turn"]): (r["role"], r["text"]) for r in talks.collect()}
+    written = transcripts(talks)
+    bare = {(r["conv_id"], r["turn"]) for r in written.collect() if r["text"] == want[r["conv_id"], r["turn"]][1]}
+    found, runs = {}, {}
+    for r in sorted(parse_transcripts(written.repartition(3)).collect(), key=lambda r: (r["conv_id"], r["turn"], r["line"])):
+        at = r["conv_id"], r["turn"]
+        found.setdefault(at, (r["role"], r["opens"]))
+        runs[at] = [*runs.get(at, []), r["text"]]
+    right = {at for at, (role, _) in want.items() if found[at] == (role, True)}
+    assert 0.05 < len(bare) / len(want) < 0.2 and all(at in right for at in want if at not in bare)
+    assert len(right & bare) >= 0.75 * len(bare) and len(right) >= 0.97 * len(want)
+    assert all("\n".join(runs[at]) == want[at][1] for at in want)  # markers go, every word stays
+
+
+def plain_viterbi(lines):  # observations
+    """The likeliest states by trying all ways, line by line, of those that end alike the best."""
+    best = {BEGIN: (0, [])}
+    for o in lines:
+        step = model()[o]
+        best = {t: max(((v + int(step[s, t]), [*way, t]) for s, (v, way) in best.items()), key=lambda x: x[0]) for t in range(STATES)}
+    return max(best.values(), key=lambda x: x[0])
+
+
+def test_query_as_a_plain_decoder(spark):
+    talks = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    lines = {}
+    for r in sorted(transcripts(talks).collect(), key=lambda r: (r["conv_id"], r["turn"])):
+        own = r["text"].split("\n")
+        lines.setdefault(r["conv_id"], []).extend(zip([r["turn"]] * len(own), observe(own), strict=True))
+    got = {}
+    for r in sorted(parse_transcripts(transcripts(talks)).collect(), key=lambda r: (r["conv_id"], r["turn"], r["line"])):
+        got.setdefault(r["conv_id"], []).append((r["turn"], r["line"], r["role"]))
+    for conv, own in lines.items():
+        obs = bytes(x for _, x in own)
+        worth_, _ = plain_viterbi(obs)
+        assert worth(obs, viterbi(obs)) == worth_
+        states, first = viterbi(obs), {}
+        for (turn, _), state in zip(own, states, strict=True):
+            first.setdefault(turn, ROLES[state // 2])
+        assert {t: role for t, line, role in got[conv] if line == 0} == first
 
 
 def test_one_long_conversation_over_many_partitions(spark):
