@@ -36,9 +36,9 @@ NAMES = {
 }
 _ROLE_OF = {name: ROLES.index(role) for role in NAMES for name in NAMES[role].split()}
 _MARK = re.compile(r"\s*(?:(<\|im_start\|>|<\|start_header_id\|>|<\||#{1,4} ?|\*\*|\[)\s*)?([A-Za-z][A-Za-z .]{0,23})(<\|end_header_id\|>|\|>|:?\*\*|\])?(\s*:(?=\s|$))?\s*")
-#: Observations: marker (none, of a role, unknown) x first line of a row x blank line before x ends with a question mark x length class;
+#: Observations: marker (none, of a role, unknown) x first line of a row x line before (other, blank, a marker alone) x ends with a question mark x length class;
 #: after these the first and the further lines of a row whose role is given.
-MARKERS, SHAPES = 5, 2 * 2 * 2 * 3
+MARKERS, SHAPES = 5, 2 * 3 * 2 * 3
 FREE = MARKERS * SHAPES
 N_OBS = FREE + 2 * len(ROLES)
 #: Bytes of text to a partition.
@@ -72,7 +72,8 @@ def observe(lines: list[str], before: str = "x", role: int | None = None) -> byt
     for k, line in enumerate(lines):
         n = len(line)
         size = 0 if n < 60 else 1 if n < 240 else 2
-        out.append((((marker(line)[0] * 2 + (not k)) * 2 + (not before.strip())) * 2 + line.rstrip().endswith(("?", "\uff1f"))) * 3 + size)
+        ahead = 1 if not before.strip() else 2 if k and marker(before) == (marker(before)[0], len(before)) else 0
+        out.append((((marker(line)[0] * 2 + (not k)) * 3 + ahead) * 2 + line.rstrip().endswith(("?", "\uff1f"))) * 3 + size)
         before = line
     return bytes(out)
 
@@ -127,7 +128,7 @@ def model() -> np.ndarray:
     """For each observation the whole-number log-likelihoods (from, to) of a step that ends with it."""
     step = np.ones((STATES + 1, STATES))
     # next to no weight for markers that training didn't show: a known one outweighs what the turns around it suggest
-    seen = [np.full((STATES, MARKERS), 1e-3), *(np.ones((STATES, k)) for k in (2, 2, 2, 3))]
+    seen = [np.full((STATES, MARKERS), 1e-3), *(np.ones((STATES, k)) for k in (2, 3, 2, 3))]
     rng = np.random.default_rng(5)
     for n, (lines, states) in enumerate(labelled_transcripts()):
         step[[BEGIN, *states[:-1]], states] += 1

@@ -192,6 +192,8 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[int]]]:
             tag, name = pick(_REST[kind])
             out.append(opened(tag, name))
             inner = "li" if tag in ("ul", "ol") else pick(["p", "div", "span"])
+            if tag not in ("ul", "ol") and kind in ("links", "comments", "form") and some(0.3):  # parts of a page have headings, too
+                put(pick(["h2", "h3", "h4"]), prose(1, 4)[:-1], 0)
             if kind == "links":
                 for _ in range(int(rng.integers(2, 8))):
                     put("li" if inner == "li" or some(0.6) else "div", f'<a href="/x">{prose(1, 4)[:-1]}</a>', 0)
@@ -204,6 +206,13 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[int]]]:
                 out.append(prose(1, 3) + "</button>")
                 labels.append(0)
             else:
+                if kind == "prose" and some(0.4):  # a heading, and mostly links, as sidebars have them
+                    put(pick(["h2", "h3", "h4", "p", "strong"]), prose(1, 4)[:-1], 0)
+                    if some(0.6):
+                        out.append("<ul>")
+                        for _ in range(int(rng.integers(1, 5))):
+                            put("li", f'<a href="/z">{prose(1, 6)[:-1]}</a>', 0)
+                        out.append("</ul>")
                 for _ in range(int(rng.integers(1, 3))):
                     text = prose(2, 12) if kind == "short" else prose(3, 40)
                     put("p" if inner == "span" else inner, ("&copy; " if kind == "short" and some(0.3) else "") + text, 0)
@@ -240,8 +249,16 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[int]]]:
                 out.append("<blockquote>")
                 put("p", own(4, 40), 1)
                 out.append("</blockquote>")
-            elif kind < 0.97:
+            elif kind < 0.955:
                 put("pre", own(3, 20), 1)
+            elif kind < 0.98:
+                out.append("<table>")
+                for _ in range(int(rng.integers(1, 4))):
+                    out.append("<tr>")
+                    for _ in range(int(rng.integers(2, 4))):
+                        put(pick(["td", "td", "th"]), own(1, 8)[:-1], 1)
+                    out.append("</tr>")
+                out.append("</table>")
             else:
                 rest(pick(["prose", "links", "form", "short"]))
         if some(0.15):

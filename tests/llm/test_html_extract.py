@@ -91,3 +91,39 @@ def test_layouts_that_training_does_not_make():
         own[0] += main_text(page, weights, pair).split("\n\n") == want
         own[1] += 1
     assert all(a >= 0.9 * b for a, b in right.values()), right
+
+
+SIDEBARS = [
+    '<aside><h3>Related</h3><ul><li><a href="/a">One story</a></li><li><a href="/b">Another story</a></li></ul></aside>', '<div id="sidebar"><h2>Popular now</h2><p>Some words on what others read.</p></div>', '<aside><h4>About us</h4><p>We write this site in our free time.</p></aside>',
+    '<div class="widget"><h3>Archive</h3><ul><li><a href="/1">May</a></li><li><a href="/2">June</a></li></ul></div>', '<aside class="sidebar"><p>Newest</p><ul><li><a href="/n">A new one</a></li></ul></aside>', '<nav><h2>Sections</h2><ul><li><a href="/w">World</a></li><li><a href="/s">Sport</a></li></ul></nav>',
+    '<div class="sidebar left"><h3>Topics</h3><a href="/t">Trees</a> <a href="/g">Grass</a></div>', '<aside id="related"><h2>More like this</h2><div><a href="/m">Something like it</a></div></aside>', '<section class="promo"><h3>Offer</h3><p>Half price until Sunday.</p></section>', '<div class="related"><h3>See also</h3><ul><li><a href="/l">Last year</a></li></ul></div>',
+]
+
+
+def test_headings_of_sidebars_go():
+    weights, pair = train()
+    paragraphs = ["The first paragraph has enough words in it to be read as one.", "A second paragraph goes on about the same thing for a while.", "And the third one ends it, as it should."]
+    body = "<h1>The heading of it</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "<table><tr><td>Cell one</td><td>Cell two</td></tr></table>"
+    wrong = []
+    for side in SIDEBARS:
+        for open_, close in (('<div id="content">', "</div>"), ("<article>", "</article>")):
+            page = f'<html><head><title>T</title></head><body><nav><a href="/">Home</a><a href="/x">News</a></nav><div class="cookie-notice"><p>We use cookies.</p></div>{open_}{body}{close}{side}<div class="ad">Buy it now.</div><div class="comments"><p>I think so too.</p></div><footer><p>All rights reserved.</p></footer></body></html>'
+            got = main_text(page, weights, pair).split("\n\n")
+            if got != ["The heading of it", *paragraphs, "Cell one", "Cell two"]:
+                wrong.append((side, got))
+    assert len(wrong) <= 2, wrong
+
+
+def test_query_as_all_labellings(spark):
+    """The likeliest labels of each page among all that it can have."""
+    from itertools import product
+
+    weights, pair = train()
+    pages = [p for p, labels in labelled_pages(120, seed=31) if len(labels) <= 12] + ["<p>alone</p>", "<nav><a href=x>a</a></nav><p>and a text of its own after it.</p>"]
+    assert len(pages) > 5
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("*", "'u' as url")
+    for r in extract_main_text(df).collect():
+        blocks = blocks_of(pages[r["page_id"]])
+        own = [sum(weights.get(f, 0.0) for f in b.features) for b in blocks]
+        best = max(product((0, 1), repeat=len(blocks)), key=lambda y: sum(x for x, l in zip(own, y, strict=True) if l) + sum(pair[2 * p + q] for p, q in zip(y, y[1:], strict=False)))  # noqa: E741
+        assert r["text"] == "\n\n".join(b.text for b, l in zip(blocks, best, strict=True) if l)  # noqa: E741
