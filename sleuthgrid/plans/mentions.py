@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract
+from ..operators import mail
 from ..tables import read
 from .catalog import Catalog
 
@@ -72,3 +73,30 @@ def written_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = rows.select(k.alias("k"), F.explode(extract.seeds(text)).alias("s"), extract.flags(text).alias("f"))
     return found.select("k", "s.type", "s.value", "s.confidence", "s.include", "f.want_breaches", "f.want_wayback")
+
+
+@catalog.query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey % 3 AS sign, o_orderkey % 5 = 0 AS replies, o_orderkey % 7 = 0 AS spoof, o_custkey % 4 AS checked, o_orderkey % 2 = 0 AS late, o_orderkey % 11 = 0 AS twice FROM orders),
+f AS (
+  SELECT k, 'info:origin_established' AS x FROM o UNION ALL SELECT k, CASE sign WHEN 0 THEN CASE WHEN checked = 1 THEN 'medium:dkim_fail' ELSE 'info:dkim_aligned' END ELSE 'high:dkim_unaligned' END FROM o WHERE sign < 2
+  UNION ALL SELECT k, CASE sign WHEN 1 THEN 'medium:spf_unaligned' ELSE 'info:spf_aligned' END FROM o UNION ALL SELECT k, 'medium:reply_to_mismatch' FROM o WHERE replies UNION ALL SELECT k, 'medium:display_name_spoof' FROM o WHERE spoof
+  UNION ALL SELECT k, CASE checked WHEN 0 THEN 'info:auth_not_checked' WHEN 1 THEN 'high:dmarc_fail' ELSE 'high:auth_untrusted' END FROM o WHERE checked <> 3 UNION ALL SELECT k, 'low:date_skew' FROM o WHERE late
+  UNION ALL SELECT k, 'low:parse_note' FROM o WHERE twice UNION ALL SELECT k, 'low:message_id_mismatch' FROM o WHERE late
+)
+SELECT k, list(x ORDER BY x) AS findings FROM f GROUP BY 1
+""")
+def mail_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, sign, checked = F.col("o_orderkey"), F.col("o_custkey") % 3, F.col("o_custkey") % 4
+    late = k % 2 == 0
+    line = lambda cond, text: F.when(cond, F.concat(text if not isinstance(text, str) else F.lit(text), F.lit("\r\n"))).otherwise("")
+    signer = F.when(sign == 0, "mail.shop.example.com").otherwise("bulk.example.net")
+    blob = F.concat(
+        F.lit("Received: from out.shop.example.com (out.shop.example.com [8.8.4."), k % 250, F.lit("])\r\n\tby mx.receiver.org with ESMTP; Mon, 1 Jan 2024 10:00:00 +0000\r\n"),
+        line(checked == 1, F.lit("Authentication-Results: mx.receiver.org; spf=pass; dkim=fail; dmarc=fail header.from=shop.example.com")), line(checked == 2, F.lit("Authentication-Results: checker.evil.test; dkim=pass; dmarc=pass")),
+        line(checked == 3, F.lit("Authentication-Results: mx.receiver.org; dkim=pass; dmarc=pass")), line(sign < 2, F.concat(F.lit("DKIM-Signature: v=1; a=rsa-sha256; d="), signer, F.lit(";\r\n s=x; b=abc"))),
+        F.lit("Return-Path: <bounce@"), F.when(sign == 1, "bulk.example.net").otherwise("shop.example.com"), F.lit(">\r\n"), F.lit("From: "), F.when(k % 7 == 0, '"ceo@bank.test"').otherwise('"A Shop"'), F.lit(" <News@Shop.Example.com>\r\n"),
+        line(k % 5 == 0, "Reply-To: someone@elsewhere.org"), line(k % 11 == 0, "Subject: one"), F.lit("Subject: two\r\nMessage-ID: <1@"), F.when(late, "host.local-net.org").otherwise("shop.example.com"), F.lit(">\r\n"),
+        F.lit("Date: "), F.when(late, "Wed, 3 Jan 2024 09:00:00 +0100").otherwise("Mon, 1 Jan 2024 10:00 +0100"), F.lit("\r\n\r\nDate: body"),
+    )
+    found = mail.mail_findings(read(spark, sf_dir, "orders").select(k.alias("k"), blob.alias("blob")), ["k"], "blob")
+    return found.select("k", F.array_sort(F.transform("findings", lambda x: F.concat(x["severity"], F.lit(":"), x["key"]))).alias("findings"))
