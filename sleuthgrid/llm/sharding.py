@@ -122,11 +122,12 @@ def _assigned(rows: DataFrame, limit: int) -> DataFrame:
     base = F.element_at(F.create_map(*(F.lit(x) for pair in offsets.items() for x in pair)), F.col("range")) if offsets else F.lit(0)
     numbered = leaves.select(*key, (rank + base).cast("int").alias("shard_id"))
     out = fits.join(numbered, key).withColumn("shard_bits", F.concat(_bits("p", "d"), _bits("q", "e")))
-    copies = out.where("copies")
+    # rows that repeat are numbered in a written table: a task that runs again deals them to the same pages
+    copies = materialize(out.where("copies").withColumn("number", F.monotonically_increasing_id()), "shard-copies")
     one_size = copies.groupBy("shard_id").agg(F.max("bytes").alias("most"), F.count("*").alias("n"))
     tasks = F.expr(f"n div {COPIES} + 1")
-    paged = copies.join(one_size, "shard_id").withColumn("task", F.pmod(F.xxhash64(F.monotonically_increasing_id()), tasks))
-    number = F.row_number().over(Window.partitionBy("shard_id", "task").orderBy("bytes")) - 1
+    paged = copies.join(one_size, "shard_id").withColumn("task", F.pmod(F.xxhash64("number"), tasks))
+    number = F.row_number().over(Window.partitionBy("shard_id", "task").orderBy("bytes", "number")) - 1
     paged = paged.withColumn("page", F.floor(number / F.greatest(F.lit(1), F.expr(f"{limit} div greatest(most, 1)"))) * tasks + F.col("task"))
     result = [*rows.columns, "shard_id", "shard_bits", "shard_bytes"]
     return out.where("not copies").select(*result, F.lit(0).cast("long").alias("page")).unionByName(paged.select(*result, F.col("page").cast("long")))

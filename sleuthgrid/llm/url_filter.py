@@ -62,7 +62,7 @@ class Level:
             byte = F.substring(F.lit(self.filled), (F.shiftright(slot, 3) + 1).cast("int"), F.lit(1))
             return F.bit_get(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(slot, F.lit(8)).cast("int")) == 1
 
-        return reduce(lambda x, y: x & y, [bit(_slot(key, self.number, i, self.bits)) for i in range(self.hashes)])
+        return F.forall(F.array(*(_slot(key, self.number, i, self.bits) for i in range(self.hashes))), bit)  # the filter stands in the plan once
 
 
 def _level(number: int, keys: DataFrame, count: int, bits_per_key: int, block: int) -> Level:
