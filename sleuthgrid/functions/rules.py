@@ -20,7 +20,7 @@ NOTE_BANS = [
     (r"(?i)https?://|www\.", "a link"),
     (r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b", "something shaped like an SSN"),
     (r"(?:\b\d{4}[-\s]?){3}\b\d{4}\b", "something shaped like a card number"),
-    (r"(?i)\b\d{1,5}\s+\w+(\s+\w+)?\s+(street|st|road|rd|avenue|ave|lane|ln|drive|dr|boulevard|blvd)\b", "a street address"),
+    (r"(?i)\b\d{1,5}\s+[\p{L}\p{N}_]+(\s+[\p{L}\p{N}_]+)?\s+(street|st|road|rd|avenue|ave|lane|ln|drive|dr|boulevard|blvd)\b", "a street address"),
 ]
 NOTE_MAX = 280
 # Return codes of a block list, what they mean and how much they weigh.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,23 +32,26 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """Pairs within km of each other and in one another's bounding box, with the distance; left has lat, lon, right has lat2, lon2.
-
-    The box doesn't wrap at 180 degrees, and above some 78 degrees of latitude it is narrower than the circle:
-    pairs across the date line, and some near the poles, are left out.
+    """Pairs within km of each other on a sphere, with the distance km; left has lat, lon, right has lat2, lon2. Rows without a place have none.
 
-    A grid makes it an equi-join: a point of left looks up the cells that its bounding box meets. The
-    box reaches km/111 degrees of latitude and km / max(.2, 111 |cos lat|) of longitude; near the
-    poles it meets some hundred cells, elsewhere nine at most.
+    A grid makes it an equi-join: a point of left looks up the cells that its circle's box meets. Cells go around at 180
+    degrees, and a circle that holds a pole meets all cells of its latitudes, 1,024 in a row at most.
     """
-    high, wide = km / 111, km / (111 * 0.2)
-    reach = km / F.greatest(F.lit(0.2), 111 * F.abs(F.cos(F.radians("lat"))))
-    cells = lambda c, by, size: F.explode(F.sequence(F.floor((F.col(c) - by) / size), F.floor((F.col(c) + by) / size)))
-    a = left.withColumn("_y", cells("lat", F.lit(high), high)).withColumn("_x", cells("lon", reach, wide))
-    b = right.withColumn("_y", F.floor(F.col("lat2") / high)).withColumn("_x", F.floor(F.col("lon2") / wide))
+    angle = km / EARTH_KM
+    high = max(math.degrees(angle), 180 / 1024)
+    around = max(1, min(1024, int(360 // max(math.degrees(angle), 1e-9))))
+    size = 360 / around
+    slack = 1e-6  # degrees, more than rounding can be off
+    reach = F.when(F.abs("lat") + math.degrees(angle) >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(angle, math.pi / 2))) / F.cos(F.radians("lat"))))))
+    row = lambda c: F.floor(c / high)
+    first, last = F.floor((F.col("lon") - reach - slack) / size), F.floor((F.col("lon") + reach + slack) / size)
+    columns = F.when(last - first + 1 >= around, F.sequence(F.lit(0), F.lit(around - 1).cast("long"))).otherwise(F.transform(F.sequence(first, last), lambda x: F.pmod(x, F.lit(around))))
+    rows = F.sequence(row(F.col("lat") - math.degrees(angle) - slack), row(F.col("lat") + math.degrees(angle) + slack))
+    placed = left.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    a = placed.withColumn("_y", F.explode(rows)).withColumn("_x", F.explode(columns))
+    b = right.withColumn("_y", row(F.col("lat2"))).withColumn("_x", F.pmod(F.floor(F.col("lon2") / size), F.lit(around)))
     joined = a.join(b, ["_y", "_x"]).drop("_y", "_x")
-    boxed = joined.where((F.abs(F.col("lat2") - F.col("lat")) <= high) & (F.abs(F.col("lon2") - F.col("lon")) <= reach))
-    return boxed.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).where(F.col("km") <= km)
+    return joined.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).where(F.col("km") <= km)
 
 
 def longest_prefix_join(left: DataFrame, prefixes: DataFrame, value: str, prefix: str, key: list[str]) -> DataFrame:

@@ -88,3 +88,9 @@ def watch_changes(before: DataFrame, now: DataFrame, key: str, value: str) -> Da
     both = old.join(new, key, "left").withColumn("_new", F.coalesce("_new", F.array().cast("array<string>")))
     changed = both.select(key, F.array_sort(F.array_except("_new", "_old")).alias("came"), F.array_sort(F.array_except("_old", "_new")).alias("went"))
     return changed.where((F.size("came") > 0) | (F.size("went") > 0))
+
+
+def recency_of_hosts(rows: DataFrame, host: Column, rank: str, at: str) -> DataFrame:
+    """host, rank and at: each host once, with its lowest rank and the newest time that it has under that; sort by rank and time for the newest first."""
+    each = rows.groupBy(host.alias("host"), rank).agg(F.max(at).alias(at))
+    return each.groupBy("host").agg(F.min_by(F.struct(rank, at), rank).alias("_x")).select("host", f"_x.{rank}", f"_x.{at}")

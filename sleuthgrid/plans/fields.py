@@ -11,15 +11,15 @@ from .catalog import Catalog
 
 catalog = Catalog()
 
-_IDS = "CASE o_orderkey % 8 WHEN 0 THEN ' cve 2021 ' || (10000 + o_orderkey) WHEN 1 THEN 'Cwe-079' WHEN 2 THEN 'capec12' WHEN 3 THEN 't1059.001' WHEN 4 THEN 'rfc 00791' WHEN 5 THEN 'd3-abc' WHEN 6 THEN 'see CVE-2021-44228' ELSE 'T1003 ' END"
+_IDS = "CASE o_orderkey % 8 WHEN 0 THEN ' cve 2021 ' || (10000 + o_orderkey % 9000000) WHEN 1 THEN 'Cwe-079' WHEN 2 THEN 'capec12' WHEN 3 THEN 't1059.001' WHEN 4 THEN 'rfc 00791' WHEN 5 THEN 'd3-abc' WHEN 6 THEN 'see CVE-2021-44228' ELSE 'T1003 ' END"
 
 
 @catalog.query("""
 SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'cve' WHEN 1 THEN 'cwe' WHEN 2 THEN 'capec' WHEN 3 THEN 'attack' WHEN 4 THEN 'rfc' WHEN 5 THEN 'd3fend' WHEN 7 THEN 'attack' END AS kind,
-  CASE o_orderkey % 8 WHEN 0 THEN 'CVE-2021-' || (10000 + o_orderkey) WHEN 1 THEN 'CWE-79' WHEN 2 THEN 'CAPEC-12' WHEN 3 THEN 'T1059.001' WHEN 4 THEN 'RFC791' WHEN 5 THEN 'D3-ABC' WHEN 7 THEN 'T1003' END AS canonical FROM orders WHERE o_orderkey < 9000000
+  CASE o_orderkey % 8 WHEN 0 THEN 'CVE-2021-' || (10000 + o_orderkey % 9000000) WHEN 1 THEN 'CWE-79' WHEN 2 THEN 'CAPEC-12' WHEN 3 THEN 'T1059.001' WHEN 4 THEN 'RFC791' WHEN 5 THEN 'D3-ABC' WHEN 7 THEN 'T1003' END AS canonical FROM orders
 """)
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").where("o_orderkey < 9000000").select("o_orderkey", fields.identifier(F.expr(_IDS)).alias("i")).select("o_orderkey", "i.*")
+    return read(spark, sf_dir, "orders").select("o_orderkey", fields.identifier(F.expr(_IDS)).alias("i")).select("o_orderkey", "i.*")
 
 
 _RAW_HOSTS = "CASE c_custkey % 7 WHEN 0 THEN ' HTTP://A' || c_custkey || '.Org:8080/x?y ' WHEN 1 THEN 'b.org.' WHEN 2 THEN '[::1]:80' WHEN 3 THEN '' WHEN 4 THEN 'c.org?q/z' WHEN 5 THEN '10.0.0.1:22' ELSE '::1' END"

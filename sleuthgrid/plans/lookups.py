@@ -25,14 +25,14 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.query("""
-WITH c AS (SELECT c_custkey, (c_custkey * 37 % 1400)::DOUBLE / 10 - 70 AS lat, (c_custkey * 61 % 3600)::DOUBLE / 10 - 180 AS lon FROM customer), s AS (SELECT s_suppkey, (s_suppkey * 53 % 1400)::DOUBLE / 10 - 70 AS lat2, (s_suppkey * 97 % 3600)::DOUBLE / 10 - 180 AS lon2 FROM supplier),
-d AS (SELECT *, 2 * 6371 * asin(least(1, sqrt(pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2)))) AS km FROM c JOIN s ON abs(lat2 - lat) <= 300.0 / 111 AND abs(lon2 - lon) <= 300.0 / greatest(0.2, 111 * abs(cos(radians(lat)))))
+WITH c AS (SELECT c_custkey, (c_custkey * 37 % 1801)::DOUBLE / 10 - 90 AS lat, (c_custkey * 61 % 3600)::DOUBLE / 10 - 180 AS lon FROM customer), s AS (SELECT s_suppkey, (s_suppkey * 53 % 1801)::DOUBLE / 10 - 90 AS lat2, (s_suppkey * 97 % 3600)::DOUBLE / 10 - 180 AS lon2 FROM supplier),
+d AS (SELECT *, 2 * 6371 * asin(least(1, sqrt(pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2)))) AS km FROM c, s)
 SELECT c_custkey, s_suppkey, round_even(km, 4) AS km FROM d WHERE km <= 300
 """)
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda key, a, m, to: (F.col(key) * a % m).cast("double") / 10 - to
-    left = read(spark, sf_dir, "customer").select("c_custkey", place("c_custkey", 37, 1400, 70).alias("lat"), place("c_custkey", 61, 3600, 180).alias("lon"))
-    right = read(spark, sf_dir, "supplier").select("s_suppkey", place("s_suppkey", 53, 1400, 70).alias("lat2"), place("s_suppkey", 97, 3600, 180).alias("lon2"))
+    left = read(spark, sf_dir, "customer").select("c_custkey", place("c_custkey", 37, 1801, 90).alias("lat"), place("c_custkey", 61, 3600, 180).alias("lon"))
+    right = read(spark, sf_dir, "supplier").select("s_suppkey", place("s_suppkey", 53, 1801, 90).alias("lat2"), place("s_suppkey", 97, 3600, 180).alias("lon2"))
     return joins.radius_join(left, right, 300.0).select("c_custkey", "s_suppkey", F.bround("km", 4).alias("km"))
 
 

@@ -14,10 +14,23 @@ def test_range_join_as_nested_loop(spark):
     assert sorted((r["p"], r["r"]) for r in out.collect()) == sorted((p, r) for p, v in points for r, lo, hi in ranges if lo <= v <= hi)
 
 
-def test_radius_join_near_the_poles(spark):
-    left = spark.createDataFrame([(1, 89.0, 10.0), (2, 0.0, 0.0)], "a int, lat double, lon double")
-    right = spark.createDataFrame([(1, 89.0, 60.0), (2, 0.0, 0.5), (3, 0.0, 5.0)], "b int, lat2 double, lon2 double")
-    assert sorted((r["a"], r["b"]) for r in joins.radius_join(left, right, 100.0).collect()) == [(1, 1), (2, 2)]
+def test_radius_join_as_all_pairs(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+    place = lambda: (rng.choice([rng.uniform(-90, 90), 89.9, -90.0, 0.0, rng.uniform(80, 90)]), rng.choice([rng.uniform(-180, 180), 180.0, -180.0, 179.95, -179.9]))
+    a, b = ([(i, *place()) for i in range(120)] for _ in range(2))
+
+    def distance(p, q):
+        x = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * joins.EARTH_KM * math.asin(min(1, math.sqrt(x)))
+
+    left = spark.createDataFrame([*a, (500, None, 1.0), (501, float("nan"), 1.0)], "a int, lat double, lon double")
+    right = spark.createDataFrame([*b, (500, None, None)], "b int, lat2 double, lon2 double")
+    for km in (1.0, 100.0, 3000.0, 20_100.0):
+        got = sorted((r["a"], r["b"]) for r in joins.radius_join(left, right, km).collect())
+        assert got == sorted((p[0], q[0]) for p in a for q in b if distance(p, q) <= km) and len(got) > 0
 
 
 def test_longest_prefix_and_subtree(spark):
