@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, per_cent: int = 80, lower: b
 
     Rows that repeat a doc_id are one document, linked by any of its texts. A null doc_id links with nothing, its
     component_id is null and the row is kept. Further columns are ignored; an empty table gives no rows. A text is worked on whole, in
-    one task. Nothing of the corpus but 1 MB of Bloom filter and sums of components reaches the driver.
+    one task. Nothing of the corpus but 4 MB of Bloom filter at most and sums of components reaches the driver.
     """
     docs = texts(docs)
     spark = docs.sparkSession

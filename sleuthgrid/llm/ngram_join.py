@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +38,8 @@ GROUPS = 256
 #: A point's bytes: a count for each group, at most 255, and what is over these in all groups.
 WIDTH = GROUPS + 4
 _SLOTS, _PART = 1 << 20, 1 << 15
-_FILTER_BITS = 1 << 23
+#: The most bits of a filter of ids: 4 MB.
+FILTER_BITS = 1 << 25
 #: Points in a leaf and children of a node.
 FANOUT = 16
 #: Tiles up to this size are one leaf: their pairs are bounded directly.
@@ -252,21 +252,20 @@ def _signatures(docs: DataFrame, classes: np.ndarray, k: int, lower: bool, per_c
 
 
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id may be among ids, by a Bloom filter of fixed size: so that a join with ids sends few other texts."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
-    bits = ids.select((slot + 1).alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
-    wanted = np.zeros(_FILTER_BITS, bool)  # a Bloom filter of fixed size over the ids
-    for r in bits.collect():
-        own = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-        wanted[(r["bucket"] - 1) * 32768 :][: len(own)] = own.astype(bool)
-    packed = np.packbits(wanted)
+    """The rows of docs whose doc_id may be among ids (written, column id), by a Bloom filter: so that a join with ids sends few other texts.
 
-    @F.pandas_udf("boolean")
-    def may_need(slots: pd.Series) -> pd.Series:
-        at = slots.to_numpy()
-        return pd.Series(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0)
-
-    return docs.where("doc_id is not null").where(may_need(F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))))
+    The filter has some eight bits for an id, up to FILTER_BITS; beyond that more and more texts go to the join, each once. It
+    is an expression, so that no task needs a Python worker for it beside the one that reads the texts.
+    """
+    bits = min(FILTER_BITS, 1 << max(15, (8 * ids.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    parts = ids.select((slot("id") + 1).alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
+    filled = bytearray(bits // 8)
+    for r in parts.collect():  # as large as the filter
+        filled[4096 * (r["bucket"] - 1) : 4096 * r["bucket"]] = r["bits"]
+    byte = F.substring(F.lit(bytes(filled)), (F.shiftright(slot("doc_id"), 3) + 1).cast("int"), F.lit(1))
+    taken = F.bit_get(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(slot("doc_id"), F.lit(8)).cast("int")) == 1
+    return docs.where("doc_id is not null").where(taken)
 
 
 def _centres(members: DataFrame, per_cent: int) -> DataFrame:
@@ -453,7 +452,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, per_cent: int = 80, lower
 
     Rows that repeat a doc_id are one document, linked by any of its texts. A null doc_id links with
     nothing and its component_id is null. Further columns are ignored; an empty table gives no rows.
-    A text is worked on whole, in one task. Fixed sizes on the driver: 8 MB of shingle counts, 8 MB of Bloom filter.
+    A text is worked on whole, in one task. Fixed sizes on the driver: 8 MB of shingle counts, 4 MB of Bloom filter at most.
     """
     docs = texts(docs)
     spark = docs.sparkSession
