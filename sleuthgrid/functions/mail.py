@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .nested import let
 from .network import address_key, is_routable
 
 # Domains between which one provider routes, and suffixes under which organisations register.
@@ -103,15 +104,13 @@ def hops(fields: Column) -> Column:
 
 def trusted_hops(chain: Column) -> Column:
     """How many hops from the top can be trusted: up to the last one, from the first that names its server, of that server's family."""
-    named = F.filter(chain, lambda h: h["by_host"].isNotNull())
-    anchor = family(F.try_element_at(named, F.lit(1))["by_host"])
-    seen = F.aggregate(
-        chain, F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(False).alias("begun"), F.lit(False).alias("over")),
-        lambda s, h: F.struct(
-            (s["i"] + 1).alias("i"), F.when(~s["over"] & F.coalesce(family(h["by_host"]) == anchor, F.lit(False)), s["i"] + 1).otherwise(s["n"]).alias("n"),
-            (s["begun"] | h["by_host"].isNotNull()).alias("begun"), (s["over"] | ((s["begun"]) & ~F.coalesce(family(h["by_host"]) == anchor, F.lit(False)))).alias("over")),
-    )
-    return seen["n"]
+
+    def count(families: Column) -> Column:
+        begin = F.array_position(F.transform(families, lambda f: f.isNotNull()), True)
+        other = F.filter(F.sequence(begin, F.size(families).cast("long")), lambda i: F.coalesce(F.get(families, (i - 1).cast("int")) != F.get(families, (begin - 1).cast("int")), F.lit(True)))
+        return F.when(begin == 0, 0).otherwise(F.coalesce(F.get(other, F.lit(0)) - 1, F.size(families).cast("long"))).cast("int")
+
+    return let(F.transform(chain, lambda h: family(h["by_host"])), count)
 
 
 def origin(chain: Column, trusted: Column) -> Column:
