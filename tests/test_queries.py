@@ -4,10 +4,10 @@ import os
 import duckdb
 import pytest
 
-from sleuthgrid.plans import casebook, certificates, entities, fields, files, lookups, mentions, notices, places, records, status, traffic, views
+from sleuthgrid.plans import casebook, certificates, entities, fields, files, imports, lookups, mentions, notices, places, records, status, traffic, views
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
-PLANS = (traffic, entities, lookups, records, casebook, status, fields, views, certificates, mentions, places, files, notices)
+PLANS = (traffic, entities, lookups, records, casebook, status, fields, views, certificates, mentions, places, files, notices, imports)
 QUERIES = {n: q for p in PLANS for n, q in p.catalog.queries.items()}
 SQL = {n: q for p in PLANS for n, q in p.catalog.sql.items()}
 
