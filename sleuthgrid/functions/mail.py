@@ -29,17 +29,20 @@ HOSTNAME = r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}\
 
 def org_domain(host: Column) -> Column:
     """The organisation's domain by the suffixes held here; operators.records.suffixes does it by a whole list."""
+
+    def of(labels: Column) -> Column:
+        n = F.size(labels)
+        last = lambda k: F.array_join(F.slice(labels, n - k + 1, k), ".")
+        return F.when((n >= 4) & last(3).isin(SUFFIXES), last(4)).when((n >= 3) & last(2).isin(SUFFIXES), last(3)).when(n >= 2, last(2))
+
     name = F.rtrim(F.lower(F.trim(host)), F.lit("."))
-    labels = F.split(name, r"\.")
-    last = lambda n: F.when(F.size(labels) >= n, F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
-    long_ = F.when(last(4).isNotNull() & last(3).isin(SUFFIXES), last(4)).when(last(3).isNotNull() & last(2).isin(SUFFIXES), last(3)).otherwise(last(2))
-    return F.when(name.contains(".") & ~name.contains(":"), long_)
+    return F.when(host.contains(".") & ~host.contains(":"), let(F.split(name, r"\."), of))
 
 
 def family(host: Column) -> Column:
     """The provider whose domain it is, else the organisation's domain."""
     table = F.create_map(*(F.lit(x) for pair in FAMILIES.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, org_domain(host)), org_domain(host))
+    return let(org_domain(host), lambda o: F.coalesce(F.try_element_at(table, o), o))
 
 
 def aligned(claim: Column, other: Column) -> Column:
@@ -116,4 +119,4 @@ def trusted_hops(chain: Column) -> Column:
 def origin(chain: Column, trusted: Column) -> Column:
     """The outside address that handed the message to the last trusted hop; null if none is named or it is internal."""
     address = F.try_element_at(chain, F.when(trusted > 0, trusted).otherwise(F.lit(None).cast("int")))["from_ip"]
-    return F.when(is_routable(address), address)
+    return let(address, lambda a: F.when(is_routable(a), a))

@@ -47,7 +47,7 @@ _PAGED = "WITH o AS (SELECT o_orderkey AS n, o_orderkey // 500 AS p, o_orderstat
 
 @catalog.query(_PAGED + """
 , e AS (SELECT DISTINCT p * 500 AS first, CASE WHEN p % 7 = 3 THEN 'missing' ELSE 'error 500' END AS what FROM o WHERE p % 7 IN (3, 5))
-SELECT 'orders' AS layer, (SELECT count(*) FROM o WHERE p % 7 NOT IN (3, 5)) AS rows, (SELECT count(*) FROM o) AS reported_total, false AS capped, (SELECT list(first || ' ' || what ORDER BY first) FROM e) AS errors
+SELECT 'orders' AS layer, (SELECT count(*) FROM o WHERE p % 7 NOT IN (3, 5)) AS rows, (SELECT count(*) FROM o) AS reported_total, false AS capped, coalesce((SELECT list(first || ' ' || what ORDER BY first) FROM e), []) AS errors
 """)
 def paged_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = read(spark, sf_dir, "orders").agg(F.count("*").alias("reported_total")).select(F.lit("orders").alias("layer"), "reported_total")

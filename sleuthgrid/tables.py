@@ -13,8 +13,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests on one machine, a temporary folder."""
+    """spark.checkpoint.dir; where it is unset, as in tests on one machine, a temporary folder. A cluster has to name one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="sleuthgrid-")
         spark.sparkContext.setCheckpointDir(at)
