@@ -18,7 +18,7 @@ def _hex(n: Column | str, digits: int) -> Column:
 
 def _element(tag: str, content: Column) -> Column:
     """A DER element; its content is named once, so that nested ones don't repeat it."""
-    head = lambda n: F.unhex(F.concat(F.lit(tag), F.when(n < 128, _hex(n, 2)).when(n < 256, F.concat(F.lit("81"), _hex(n, 2))).otherwise(F.concat(F.lit("82"), _hex(n, 4)))))
+    head = lambda n: F.unhex(F.concat(F.lit(tag), F.when(n < 128, _hex(n, 2)).when(n < 256, F.concat(F.lit("81"), _hex(n, 2))).when(n < 65536, F.concat(F.lit("82"), _hex(n, 4))).otherwise(F.concat(F.lit("83"), _hex(n, 6)))))
     return F.element_at(F.transform(F.array(content), lambda c: F.concat(head(F.octet_length(c)), c)), 1)
 
 
@@ -30,8 +30,10 @@ def _name(oid: str, text: Column) -> Column:
     return _element("31", _element("30", F.concat(_raw("06035504" + oid), _element("0c", F.encode(text, "UTF-8")))))
 
 
-def _utc_time(at: Column) -> Column:
-    return _element("17", F.encode(F.date_format(at, "yyMMddHHmmss'Z'"), "UTF-8"))
+def _time(at: Column) -> Column:
+    """A date of a validity: with two digits of the year up to 2049, with all four from 2050 on."""
+    text = lambda tag, form: _element(tag, F.encode(F.date_format(at, form), "UTF-8"))
+    return F.when(F.year(at) < 2050, text("17", "yyMMddHHmmss'Z'")).otherwise(text("18", "yyyyMMddHHmmss'Z'"))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("*", _element("30", F.concat(_element("82", own), names)).alias("san"))
     rows = rows.select("*", _element("a3", _element("30", _element("30", F.concat(_raw("0603551d11"), _element("04", F.col("san")))))).alias("extensions"))
     issuer = F.when(F.col("title") == "", _name("03", F.lit("unnamed"))).otherwise(_name("0a", F.col("title")))
-    rows = rows.select("*", _element("30", issuer).alias("issuer"), _element("30", F.concat(_utc_time(begin), _utc_time(begin + F.expr("interval 90 days")))).alias("validity"), _element("30", _name("03", F.concat(F.upper("host"), F.lit(".")))).alias("subject"))
+    rows = rows.select("*", _element("30", issuer).alias("issuer"), _element("30", F.concat(_time(begin), _time(begin + F.expr("interval 90 days")))).alias("validity"), _element("30", _name("03", F.concat(F.upper("host"), F.lit(".")))).alias("subject"))
     head = F.concat(_raw("a003020102"), _element("02", F.unhex(serial)), _raw("3003060100"))
     rows = rows.select("*", _element("30", F.concat(head, "issuer", "validity", "subject", _raw("3003060100"), "extensions")).alias("body"))
     rows = rows.select("page_id", "body", _element("30", F.concat("body", _raw("300306010003020000"))).alias("whole"))
