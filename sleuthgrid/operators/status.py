@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import stage
+
 
 def status_counts(held: DataFrame, **conditions: Column) -> DataFrame:
     """One row: for each name how many rows fulfil its condition."""
@@ -91,6 +93,15 @@ def watch_changes(before: DataFrame, now: DataFrame, key: str, value: str) -> Da
 
 
 def recency_of_hosts(rows: DataFrame, host: Column, rank: str, at: str) -> DataFrame:
-    """host, rank and at: each host once, with its lowest rank and the newest time that it has under that; sort by rank and time for the newest first."""
+    """host, rank and at: each host once, with its lowest rank and the newest time that it has under that."""
     each = rows.groupBy(host.alias("host"), rank).agg(F.max(at).alias(at))
     return each.groupBy("host").agg(F.min_by(F.struct(rank, at), rank).alias("_x")).select("host", f"_x.{rank}", f"_x.{at}")
+
+
+def placed(rows: DataFrame, by: list[Column], name: str) -> DataFrame:
+    """rows with their place, from 1, in the order of `by`, which has to tell all rows apart. Ranges of the order are numbered each for itself, after the sizes of those before."""
+    parts = stage(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "placed")  # written, as ranges are drawn anew each time
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + own).drop("_part", "_before")

@@ -106,11 +106,12 @@ def newest_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.query("""
 WITH h AS (SELECT 'h' || l_suppkey AS host, 0 AS r, l_shipdate AS made FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 'h' || l_suppkey, 1, l_shipdate FROM lineitem WHERE l_returnflag = 'A'),
 b AS (SELECT host, min(r) AS r, max(made) FILTER (r = 0) AS a, max(made) FILTER (r = 1) AS b FROM h GROUP BY 1)
-SELECT host, r, CASE WHEN r = 0 THEN a ELSE b END AS seen_at FROM b
+SELECT host, r, CASE WHEN r = 0 THEN a ELSE b END AS seen_at, row_number() OVER (ORDER BY r, CASE WHEN r = 0 THEN a ELSE b END DESC, host) AS place FROM b
 """)
 def recent_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").where("l_returnflag in ('R', 'A')").select(F.expr("'h' || l_suppkey || CASE WHEN l_linenumber % 2 = 0 THEN ':80' ELSE '' END").alias("host"), F.expr("CASE l_returnflag WHEN 'R' THEN 0 ELSE 1 END").alias("r"), F.col("l_shipdate").alias("at"))
-    return status.recency_of_hosts(lines, F.regexp_replace("host", r":\d+$", ""), "r", "at").withColumnRenamed("at", "seen_at")
+    recent = status.recency_of_hosts(lines, F.regexp_replace("host", r":\d+$", ""), "r", "at").withColumnRenamed("at", "seen_at")
+    return status.placed(recent, [F.col("r"), F.desc("seen_at"), F.col("host")], "place")
 
 
 @catalog.query("""
