@@ -254,18 +254,17 @@ def _signatures(docs: DataFrame, classes: np.ndarray, k: int, lower: bool, per_c
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id may be among ids (written, column id), by a Bloom filter: so that a join with ids sends few other texts.
 
-    The filter has some eight bits for an id, up to FILTER_BITS; beyond that more and more texts go to the join, each once. It
-    is an expression, so that no task needs a Python worker for it beside the one that reads the texts.
+    The filter has some eight bits for an id, up to FILTER_BITS; beyond that more and more texts go to the join, each once. Its
+    pieces are joined to the rows, so no task needs a Python worker for it, and plans, of which the driver keeps many, don't hold it.
     """
     bits = min(FILTER_BITS, 1 << max(15, (8 * ids.count()).bit_length()))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    parts = ids.select((slot("id") + 1).alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
-    filled = bytearray(bits // 8)
-    for r in parts.collect():  # as large as the filter
-        filled[4096 * (r["bucket"] - 1) : 4096 * r["bucket"]] = r["bits"]
-    byte = F.substring(F.lit(bytes(filled)), (F.shiftright(slot("doc_id"), 3) + 1).cast("int"), F.lit(1))
-    taken = F.bit_get(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(slot("doc_id"), F.lit(8)).cast("int")) == 1
-    return docs.where("doc_id is not null").where(taken)
+    parts = ids.select((slot("id") + 1).alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("_bits"))
+    rows = docs.where("doc_id is not null").withColumn("_slot", slot("doc_id") + 1).withColumn("_bucket", F.expr("bitmap_bucket_number(_slot)"))
+    at = F.expr("bitmap_bit_position(_slot)")
+    byte = F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))
+    taken = F.bit_get(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(at, F.lit(8)).cast("int")) == 1
+    return rows.join(F.broadcast(parts), "_bucket").where(taken).select(*docs.columns)  # as large as the filter, at most 4 MB
 
 
 def _centres(members: DataFrame, per_cent: int) -> DataFrame:
@@ -334,6 +333,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, lower: bool, per_cent: i
     """The pairs (a, b) whose sets reach the threshold, from their whole texts."""
     need = _wanted(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
     both = pairs.join(need.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+    both = both.repartition(partitions(docs.sparkSession), "b")  # a number that adaptive execution keeps: few tasks would hold many texts each
     both = both.join(need.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
