@@ -9,7 +9,7 @@ from ..functions.fields import bare_host
 from ..functions.network import address_key, is_eligible
 from ..functions.rules import blockable
 from ..operators import search, views
-from ..tables import read
+from ..tables import dealt, read, stage
 from .catalog import Catalog
 
 catalog = Catalog()
@@ -54,8 +54,8 @@ SELECT host, host LIKE 'h%' AS is_domain FROM h WHERE host IS NOT NULL
 """)
 def blocklist_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.expr("CASE l_suppkey % 4 WHEN 0 THEN 'HTTP://H' || l_suppkey || '.org/x' WHEN 1 THEN '11.0.' || (l_suppkey div 250) || '.' || (l_suppkey % 250) || ':80' WHEN 2 THEN '10.0.0.1' ELSE 'localhost' END")
-    host = bare_host(raw)
-    hosts = read(spark, sf_dir, "lineitem").select(host.alias("host")).distinct()
+    listed = dealt(read(spark, sf_dir, "lineitem").select(raw.alias("raw")).distinct())  # each writing of a host is read once, however often it is listed
+    hosts = stage(listed.select(bare_host(F.col("raw")).alias("host")).distinct(), "listed-hosts")  # written, else the tests below are worked out on what makes a host, over and over
     address = address_key(F.col("host")).isNotNull()
     kept = hosts.where(F.when(address, F.coalesce(is_eligible(F.col("host")), F.lit(False))).otherwise(blockable(F.col("host"), [], [".local"])))
     return kept.select("host", (~address).alias("is_domain"))
