@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import dealt
+
 EARTH_KM = 6371.0
 
 
@@ -35,7 +37,8 @@ def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     """Pairs within km of each other on a sphere, with the distance km; left has lat, lon, right has lat2, lon2. Rows without a place have none.
 
     A grid makes it an equi-join: a point of left looks up the cells that its circle's box meets. Cells go around at 180
-    degrees, and a circle that holds a pole meets all cells of its latitudes, 1,024 in a row at most.
+    degrees, and a circle that holds a pole meets all cells of its latitudes, 1,024 in a row at most. Points of left
+    are dealt evenly to tasks, which a small table of right comes to.
     """
     angle = km / EARTH_KM
     high = max(math.degrees(angle), 180 / 1024)
@@ -48,7 +51,7 @@ def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     columns = F.when(last - first + 1 >= around, F.sequence(F.lit(0), F.lit(around - 1).cast("long"))).otherwise(F.transform(F.sequence(first, last), lambda x: F.pmod(x, F.lit(around))))
     rows = F.sequence(row(F.col("lat") - math.degrees(angle) - slack), row(F.col("lat") + math.degrees(angle) + slack))
     placed = left.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
-    a = placed.withColumn("_y", F.explode(rows)).withColumn("_x", F.explode(columns))
+    a = dealt(placed).withColumn("_y", F.explode(rows)).withColumn("_x", F.explode(columns))
     b = right.withColumn("_y", row(F.col("lat2"))).withColumn("_x", F.pmod(F.floor(F.col("lon2") / size), F.lit(around)))
     joined = a.join(b, ["_y", "_x"]).drop("_y", "_x")
     return joined.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).where(F.col("km") <= km)
