@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.metadata import file_metadata
-from ..tables import read
+from ..tables import dealt, read
 from .catalog import Catalog
 
 catalog = Catalog()
@@ -34,6 +34,6 @@ def file_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdf = text(F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Title <"), F.concat(F.lit("FEFF"), F.hex(F.encode("p_name", "UTF-16BE"))), F.lit("> /Author ("), "p_brand", F.lit(" \\(maker\\)) >>\nendobj\n")))
     form = F.col("p_partkey") % 4
     content = F.when(form == 0, png).when(form == 1, tiff).when(form == 2, pdf).otherwise(text(F.col("p_name")))
-    found = file_metadata(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), content.alias("content")))
+    found = file_metadata(dealt(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")).select(F.col("p_partkey").cast("string").alias("path"), content.alias("content")))
     fields = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), F.trim(e["value"]))))
     return found.select("path", "kind", fields.alias("fields"))
