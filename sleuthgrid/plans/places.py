@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import web
 from ..operators import places
-from ..tables import read
+from ..tables import dealt, read
 from .catalog import Catalog
 
 catalog = Catalog()
@@ -35,7 +35,7 @@ WITH codes AS (SELECT {_CODES!r} AS s), c AS (
 SELECT o_orderkey, coalesce(m.name, f.name) AS county, coalesce(m.state, f.state) AS state FROM b JOIN f USING (want) LEFT JOIN m ON m.want = b.want AND m.state = b.st AND b.told
 """)
 def named_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("o_custkey"))
+    joined = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("o_custkey"))
     want = F.when(F.col("o_orderkey") % 3 == 0, F.initcap(F.split("p_name", " ")[1])).otherwise(F.initcap("p_name"))
     code = F.element_at(F.array(*(F.lit(c) for c in _CODES)), (F.col("o_custkey") % len(_CODES) + 1).cast("int"))
     text = F.concat(F.lit("as filed in "), want, F.lit(" county"), F.when(F.col("o_orderkey") % 4 != 1, F.concat(F.lit(", "), F.lower(code))).otherwise(""))
@@ -49,7 +49,7 @@ SELECT o_orderkey, CASE WHEN form = 0 THEN st WHEN form IN (1, 2) THEN coalesce(
 FROM x JOIN f USING (want) LEFT JOIN m ON m.want = x.want AND m.state = x.st
 """)
 def layer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = read(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("o_custkey"))
+    joined = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").where("o_orderkey % 3 <> 0")).join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("o_custkey"))
     at = (F.col("o_custkey") % len(_CODES) + 1).cast("int")
     code, name = (F.element_at(F.array(*(F.lit(c) for c in x)), at) for x in (_CODES, list(places.STATES.values())))
     form = F.col("o_orderkey") % 5
