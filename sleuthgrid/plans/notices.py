@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import kinship
-from ..tables import read
+from ..tables import dealt, read
 from .catalog import Catalog
 
 catalog = Catalog()
@@ -21,7 +21,7 @@ def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 0, "; children Dora, Emil and Fred").otherwise(""), F.when(k % 3 == 0, F.concat(F.lit("; sisters Gina "), other, F.lit(" and Hanna "), other)).otherwise(""), F.when(k % 5 == 0, F.concat(F.lit("; son-in-law Ivo "), other)).otherwise(""),
         F.lit(". "), F.when(k % 7 == 0, F.concat(F.lit("She was preceded in death by her father Jan "), own, F.lit(" and mother Karla "), other, F.lit(". "))).otherwise(""), F.lit("Services will be held at Lind Funeral Home. Interment at "), F.initcap(F.lower("c_mktsegment")), F.lit(" Hill Cemetery."),
     )
-    return read(spark, sf_dir, "customer").select(k.alias("k"), F.concat(F.lit("Anna "), own).alias("name"), text.alias("text"))
+    return dealt(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")).select(k.alias("k"), F.concat(F.lit("Anna "), own).alias("name"), text.alias("text"))
 
 
 _KIN = """
