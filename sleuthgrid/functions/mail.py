@@ -93,11 +93,12 @@ def _hop(value: Column) -> Column:
     for _ in range(3):
         hidden = F.regexp_replace(hidden, r"[ \t]+(?=[^()\[\]]*[)\]])", "\u0001")
         hidden = F.regexp_replace(hidden, r"[(\[]([^()\[\]]*)[)\]]", "\u0002$1\u0003")
-    clause = lambda word: F.regexp_extract(F.concat(F.lit(" "), hidden), rf"(?i)[ \t]{word}[ \t]+(.*?)(?=[ \t](?:from|by|with|id|for|via|using)[ \t]|$)", 1)
+    clause = lambda text, word: F.regexp_extract(text, rf"(?i)[ \t]{word}[ \t]+(.*?)(?=[ \t](?:from|by|with|id|for|via|using)[ \t]|$)", 1)
     shown = lambda text: F.translate(text, "\u0001\u0002\u0003", " ()")
     host = lambda text: F.nullif(F.rtrim(F.lower(F.regexp_extract(text, rf"^({HOSTNAME})(?=[\s\u0002]|$)", 1)), F.lit(".")), F.lit(""))
-    sender, receiver = clause("from"), clause("by")
-    return F.struct(host(sender).alias("from_host"), _address_in(shown(sender)).alias("from_ip"), host(receiver).alias("by_host"), F.nullif(F.trim(F.regexp_extract(shown(clause("with")), r"^[^(]*", 0)), F.lit("")).alias("protocol"))
+    clauses = let(F.concat(F.lit(" "), hidden), lambda t: F.struct(*(clause(t, word).alias(word) for word in ("from", "by", "with"))))
+    # what is hidden and the clauses are worked out once each
+    return let(clauses, lambda c: F.struct(host(c["from"]).alias("from_host"), _address_in(shown(c["from"])).alias("from_ip"), host(c["by"]).alias("by_host"), F.nullif(F.trim(F.regexp_extract(shown(c["with"]), r"^[^(]*", 0)), F.lit("")).alias("protocol")))
 
 
 def hops(fields: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions import identity, mail, network
 from ..functions import text as tx
 from ..functions import web
 from ..operators import alerts, records
-from ..tables import read
+from ..tables import dealt, read
 from .catalog import Catalog
 
 catalog = Catalog()
@@ -160,6 +160,6 @@ def mail_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.when(F.col("o_orderkey") % 3 == 0, "mx.other.org").otherwise("b.mx.example.com")
     handed = F.when(F.col("o_orderkey") % 5 == 0, "10.1.1.1").otherwise(F.concat(F.lit("8.8."), F.col("o_custkey") % 200, F.lit(".1")))
     blob = F.concat(F.lit("Received: from x ([10.0.0.9])\n by a.mx.example.com with ESMTP; d\nReceived: from y.net (y.net by z ["), handed, F.lit("])\n by "), second, F.lit(" with SMTP; d\nReceived: from z.net ([7.7.7.7]) by y.net; d\nFrom: a@z.net\n\nbody"))
-    chain = read(spark, sf_dir, "orders").select("o_orderkey", mail.hops(mail.headers(blob)).alias("c"))
+    chain = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", mail.hops(mail.headers(blob)).alias("c"))
     counted = chain.select("o_orderkey", "c", F.size("c").alias("n_hops"), mail.trusted_hops(F.col("c")).alias("trusted"))
     return counted.select("o_orderkey", "n_hops", "trusted", mail.origin(F.col("c"), F.col("trusted")).alias("origin"))
