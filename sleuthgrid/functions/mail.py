@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .nested import let
-from .network import address_key, is_routable
+from .network import is_address, is_routable
 
 # Domains between which one provider routes, and suffixes under which organisations register.
 FAMILIES = {
@@ -30,13 +30,12 @@ HOSTNAME = r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}\
 def org_domain(host: Column) -> Column:
     """The organisation's domain by the suffixes held here; operators.records.suffixes does it by a whole list."""
 
-    def of(labels: Column) -> Column:
-        n = F.size(labels)
-        last = lambda k: F.array_join(F.slice(labels, n - k + 1, k), ".")
-        return F.when((n >= 4) & last(3).isin(SUFFIXES), last(4)).when((n >= 3) & last(2).isin(SUFFIXES), last(3)).when(n >= 2, last(2))
+    def of(name: Column) -> Column:
+        last = lambda k: F.substring_index(name, ".", -k)
+        return F.when((last(3) != name) & last(3).isin(SUFFIXES), last(4)).when((last(2) != name) & last(2).isin(SUFFIXES), last(3)).when(name.contains("."), last(2))
 
-    name = F.rtrim(F.lower(F.trim(host)), F.lit("."))
-    return F.when(host.contains(".") & ~host.contains(":"), let(F.split(name, r"\."), of))
+    bare = let(F.lower(F.trim(host)), lambda t: F.when(t.endswith("."), F.rtrim(t, F.lit("."))).otherwise(t))
+    return F.when(host.contains(".") & ~host.contains(":"), let(bare, of))
 
 
 def family(host: Column) -> Column:
@@ -51,17 +50,30 @@ def aligned(claim: Column, other: Column) -> Column:
     return F.coalesce(same, F.lit(False))
 
 
+def lines(blob: Column) -> Column:
+    """The header block as a text of lines that end in \\n, folded ones joined."""
+    whole = F.ltrim(F.replace(F.replace(F.coalesce(blob, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit("\n"))
+    return F.regexp_replace(F.substring_index(whole, "\n\n", 1), "[ \t]*+\n[ \t]++", " ")
+
+
+def names(block: Column) -> Column:
+    """The names of the headers in lines(blob), in order, in lower case."""
+    return F.transform(F.regexp_extract_all(block, F.lit(r"(?dm)^([!-9;-~]+[ \t]*):"), F.lit(1)), lambda n: F.lower(F.trim(n)))
+
+
+def values(block: Column) -> Column:
+    """The values of the headers in lines(blob), in order."""
+    return F.transform(F.regexp_extract_all(block, F.lit(r"(?dm)^[!-9;-~]+[ \t]*:(.*)$"), F.lit(1)), lambda v: F.trim(v))
+
+
 def headers(blob: Column) -> Column:
     """array<struct(name, value)> of the header block, in order, names in lower case."""
-    whole = F.ltrim(F.regexp_replace(F.coalesce(blob, F.lit("")), "\r\n?", "\n"), F.lit("\n"))
-    lines = F.split(F.regexp_replace(F.substring_index(whole, "\n\n", 1), "[ \t]*\n[ \t]+", " "), "\n")
-    fields = F.filter(lines, lambda x: x.rlike("^[!-9;-~]+[ \t]*:"))
-    return F.transform(fields, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), F.trim(F.regexp_extract(x, "^[^:]*:(?s)(.*)$", 1)).alias("value")))
+    return let(lines(blob), lambda t: F.zip_with(names(t), values(t), lambda n, v: F.struct(n.alias("name"), v.alias("value"))))
 
 
 def header(fields: Column, name: str) -> Column:
     """The first value of a header; null when there is none."""
-    return F.try_element_at(F.filter(fields, lambda h: h["name"] == name), F.lit(1))["value"]
+    return F.get(fields["value"], (F.array_position(fields["name"], name) - 1).cast("int"))
 
 
 def address_domain(value: Column) -> Column:
@@ -69,6 +81,12 @@ def address_domain(value: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(value, "@([A-Za-z0-9.-]*[A-Za-z0-9])[ \t]*>?[ \t]*$", 1)), F.lit(""))
 
 
+def tag(value: Column, name: str) -> Column:
+    """tags(value)[name], without the others."""
+    parts = F.filter(F.split(F.coalesce(value, F.lit("")), ";"), lambda p: p.contains("=") & (F.lower(F.trim(F.substring_index(p, "=", 1))) == name))
+    return let(F.get(parts, F.lit(0)), lambda p: F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p))))
+
+
 def tags(value: Column) -> Column:
     """map of the tags (k=v; …) of a signature, names in lower case; the first of repeated ones counts."""
     parts = F.filter(F.split(F.coalesce(value, F.lit("")), ";"), lambda p: p.contains("="))
@@ -78,21 +96,23 @@ def tags(value: Column) -> Column:
 
 
 def _address_in(text: Column) -> Column:
-    """The first IPv4 or IPv6 address in a text."""
-    words = F.transform(F.split(F.coalesce(text, F.lit("")), r"[\s,;\[\]()<>'\"]+"), lambda w: F.regexp_replace(F.lower(w), "^ipv6:", ""))
-    return F.try_element_at(F.filter(words, lambda w: address_key(w).isNotNull()), F.lit(1))
+    """The first IPv4 or IPv6 address in a text. Only words of digits, dots and colons are looked at closer."""
+    edge = r"[^\s,;\[\]()<>'\"]"
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<!{edge})(?:ipv6:)?([0-9a-f.:]++(?:%{edge}*+)?)(?!{edge})"), F.lit(1))
+    return F.get(F.filter(words, is_address), F.lit(0))
 
 
-def _hop(value: Column) -> Column:
+def hop(value: Column) -> Column:
     """A Received value as struct(from_host, from_ip, by_host, protocol).
 
     Clause words inside brackets don't count, so blanks inside them are hidden, from the innermost
     brackets outwards; brackets four deep and more count as text.
     """
+    closed = lambda t: t.contains(")") | t.contains("]")
+    hide = lambda t: F.regexp_replace(F.regexp_replace(t, r"[ \t]+(?=[^()\[\]]*[)\]])", "\u0001"), r"[(\[]([^()\[\]]*)[)\]]", "\u0002$1\u0003")
     hidden = F.regexp_replace(F.substring(value, 1, 4000), r";[^;]*$", "")
     for _ in range(3):
-        hidden = F.regexp_replace(hidden, r"[ \t]+(?=[^()\[\]]*[)\]])", "\u0001")
-        hidden = F.regexp_replace(hidden, r"[(\[]([^()\[\]]*)[)\]]", "\u0002$1\u0003")
+        hidden = let(hidden, lambda t: F.when(closed(t), hide(t)).otherwise(t))
     clause = lambda text, word: F.regexp_extract(text, rf"(?i)[ \t]{word}[ \t]+(.*?)(?=[ \t](?:from|by|with|id|for|via|using)[ \t]|$)", 1)
     shown = lambda text: F.translate(text, "\u0001\u0002\u0003", " ()")
     host = lambda text: F.nullif(F.rtrim(F.lower(F.regexp_extract(text, rf"^({HOSTNAME})(?=[\s\u0002]|$)", 1)), F.lit(".")), F.lit(""))
@@ -102,19 +122,23 @@ def _hop(value: Column) -> Column:
 
 
 def hops(fields: Column) -> Column:
-    """The chain of a message, newest first: an array of _hop structs."""
-    return F.transform(F.filter(fields, lambda h: h["name"] == "received"), lambda h: _hop(h["value"]))
+    """The chain of a message, newest first: an array of hop structs."""
+    return F.transform(F.filter(fields, lambda h: h["name"] == "received"), lambda h: hop(h["value"]))
 
 
-def trusted_hops(chain: Column) -> Column:
-    """How many hops from the top can be trusted: up to the last one, from the first that names its server, of that server's family."""
+def trusted_families(families: Column) -> Column:
+    """trusted_hops of a chain whose servers are of these families."""
 
-    def count(families: Column) -> Column:
-        begin = F.array_position(F.transform(families, lambda f: f.isNotNull()), True)
+    def count(begin: Column) -> Column:
         other = F.filter(F.sequence(begin, F.size(families).cast("long")), lambda i: F.coalesce(F.get(families, (i - 1).cast("int")) != F.get(families, (begin - 1).cast("int")), F.lit(True)))
         return F.when(begin == 0, 0).otherwise(F.coalesce(F.get(other, F.lit(0)) - 1, F.size(families).cast("long"))).cast("int")
 
-    return let(F.transform(chain, lambda h: family(h["by_host"])), count)
+    return let(F.array_position(F.transform(families, lambda f: f.isNotNull()), True), count)
+
+
+def trusted_hops(chain: Column) -> Column:
+    """How many hops from the top can be trusted: up to the last one, from the first that names its server, of that server's family."""
+    return let(F.transform(chain, lambda h: family(h["by_host"])), trusted_families)
 
 
 def origin(chain: Column, trusted: Column) -> Column:

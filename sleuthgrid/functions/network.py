@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+IPV4 = r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$"
+
 
 def ip_number(address: Column) -> Column:
     """An IPv4 address as a long; null for anything else."""
-    parts = F.transform(F.split(address, r"\."), lambda p: p.cast("long"))
-    valid = address.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$")
-    return F.when(valid, ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3])
+    number = lambda p: ((p[0].cast("long") * 256 + p[1].cast("long")) * 256 + p[2].cast("long")) * 256 + p[3].cast("long")
+    return F.when(address.rlike(IPV4), let(F.split(address, r"\."), number))
 
 
 def cidr_range(cidr: Column) -> Column:
@@ -65,6 +66,11 @@ def address_key(address: Column) -> Column:
     return F.lower(F.coalesce(four, F.concat(F.lit("6"), ip6_hex(address))))
 
 
+def is_address(address: Column) -> Column:
+    """Whether address_key knows it; the key itself isn't made. False for null."""
+    return F.coalesce(F.trim(address).rlike(IPV4), F.lit(False)) | ip6_hex(address).isNotNull()
+
+
 def within(address: Column, networks: list[str]) -> Column:
     """Whether an IPv4 or IPv6 address lies in one of the networks; null if it isn't an address."""
     keys = lambda n: [f"{n.version}{int(x):0{n.max_prefixlen // 4}x}" for x in (n.network_address, n.broadcast_address)]
